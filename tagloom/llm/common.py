@@ -169,7 +169,7 @@ def summed_blocks(rows: DataFrame, fan_in: int = 16) -> DataFrame:
     """
     schema = "slot int, part int, data binary"
 
-    def add(key, table: pa.Table) -> pa.Table:
+    def add(key, table):
         total = None
         for chunk in table.column("data").chunks:
             for x in chunk:
@@ -178,4 +178,4 @@ def summed_blocks(rows: DataFrame, fan_in: int = 16) -> DataFrame:
         return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py() if len(key) > 1 else 0], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
     some = rows.select("slot", (F.abs(F.col("part")) % fan_in).cast("int").alias("part"), "data")
-    return some.groupBy("slot", "part").applyInArrow(add, schema).groupBy("slot").applyInArrow(lambda key, t: add(key, t), schema)
+    return some.groupBy("slot", "part").applyInArrow(add, schema).groupBy("slot").applyInArrow(add, schema)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tagloom.llm.common import read_table
 
@@ -14,6 +13,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.language import language_report
+
+    return language_report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.mixing import mix
 
@@ -21,5 +26,17 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op5_mix)}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.quality import quality_report
+
+    return quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.toxicity import toxicity_report
+
+    return toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secrets, op4_language, op5_mix, op6_quality, op9_toxicity)}
 SQL: dict[str, str] = {}
