@@ -57,7 +57,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         m = max(n, SLICE_BYTES + 1)
         with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.concatenate([[1], np.full(m - 1, k, _U64)]).astype(_U64)) for k in (_MULT, _MULT_INV)]
+            factors = [np.full(m, k, _U64) for k in (_MULT, _MULT_INV)]
+            for f in factors:
+                f[0] = 1
+            _powers[:] = [np.cumprod(f, dtype=_U64) for f in factors]
     return _powers[0], _powers[1]
 
 

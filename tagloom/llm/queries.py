@@ -38,5 +38,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op4_language, op5_mix, op6_quality, op9_toxicity)}
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.hmm import lm_report
+
+    return lm_report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secrets, op4_language, op5_mix, op6_quality, op9_toxicity, op10_hmm)}
 SQL: dict[str, str] = {}
