@@ -31,7 +31,7 @@ STATES = 6
 HEAD = 2048
 TAIL = 256
 CHAIN = 64
-ROUNDS = 3
+ROUNDS = 5
 #: The hash that stands for the end.
 END = np.int64(1)
 #: Rows of the score's blocks: about so many bytes of text each.

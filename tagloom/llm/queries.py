@@ -44,5 +44,11 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op4_language, op5_mix, op6_quality, op9_toxicity, op10_hmm)}
+def op3_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.minhash import dedup_report
+
+    return dedup_report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_dedup, op4_language, op5_mix, op6_quality, op9_toxicity, op10_hmm)}
 SQL: dict[str, str] = {}
