@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import mix64, string_buffers
 
 KEEP = 64
-LEVEL = 3
+LEVEL = 2
 #: Text of about so many bytes is parsed at a time.
 BYTES = 1 << 19
 #: Range pieces the documents are dealt into hold about so many bytes of text.
