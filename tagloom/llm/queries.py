@@ -32,6 +32,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.chat import chat_report
+
+    return chat_report(read_table(spark, sf_dir, "conversations"))
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.fingerprint import fingerprint_report
 
@@ -56,5 +62,5 @@ def op3_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_dedup, op4_language, op5_mix, op6_quality, op8_fingerprint, op9_toxicity, op10_hmm)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_dedup, op4_language, op5_mix, op6_quality, op7_chat, op8_fingerprint, op9_toxicity, op10_hmm)}
 SQL: dict[str, str] = {}
