@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tagloom.llm.common import read_table
 
 
+def op1_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.decontam import leaks_report
+
+    return leaks_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.secrets import secrets_report
 
@@ -62,5 +68,5 @@ def op3_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_dedup, op4_language, op5_mix, op6_quality, op7_chat, op8_fingerprint, op9_toxicity, op10_hmm)}
+QUERIES = {f.__name__: f for f in (op1_leaks, op2_secrets, op3_dedup, op4_language, op5_mix, op6_quality, op7_chat, op8_fingerprint, op9_toxicity, op10_hmm)}
 SQL: dict[str, str] = {}
