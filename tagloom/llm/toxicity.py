@@ -135,8 +135,8 @@ class Landmarks:
     def gram(self) -> np.ndarray:
         n = len(self.names)
         a, b = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
-        k = raw_kernel(self.matrix[a], self.matrix[b]) / np.sqrt(self.own[a] * self.own[b])
-        return k.reshape(n, n)
+        raw = [raw_kernel(self.matrix[a[i : i + 4096]], self.matrix[b[i : i + 4096]]) for i in range(0, n * n, 4096)]
+        return (np.concatenate([np.zeros(0), *raw]) / np.sqrt(self.own[a] * self.own[b])).reshape(n, n)
 
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’…–—"
