@@ -9,7 +9,8 @@ Landmarks are words of labelled training sentences, the ones whose presence best
 from clean ones and that are not near each other in the kernel.  A text's feature for a landmark
 is the highest kernel value of its units; K(landmarks, landmarks) ** -1/2 maps features to the
 Nystroem space, in which a squared-hinge support vector machine and a logistic calibration are
-fitted.  Pairs whose letters overlap in less than OVERLAP of the landmark's letters have value 0:
+fitted.  The value at the nearest landmark is one feature more: one insult is enough, however
+little the rest of a text resembles any.  Pairs whose letters overlap in less than OVERLAP of the landmark's letters have value 0:
 they share few of its subsequences.
 
 Defined cases: null and empty texts have no unit and so the features 0; null labels don't train;
@@ -273,8 +274,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     y = np.array([r["label"] for r in rows], np.float64)
     value, vector = np.linalg.eigh(marks.gram())
     root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-    w, bias, slope, offset = fit_machine(x @ root, y)
-    return {"names": names, "weights": root @ w, "bias": bias, "slope": slope, "offset": offset}
+    w, bias, slope, offset = fit_machine(np.hstack([x @ root, x.max(axis=1, keepdims=True)]), y)
+    return {"names": names, "weights": root @ w[:-1], "nearest": w[-1], "bias": bias, "slope": slope, "offset": offset}
 
 
 def score_toxicity(docs: DataFrame, model: dict | None, id_cols: list[str], text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -288,7 +289,8 @@ def score_toxicity(docs: DataFrame, model: dict | None, id_cols: list[str], text
         for batch in batches:
             found = [np.zeros(0)]
             for _, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
-                found.append(pooled(units_by_row(data, offsets), marks, known) @ model["weights"] + model["bias"])
+                x = pooled(units_by_row(data, offsets), marks, known)
+                found.append(x @ model["weights"] + model["nearest"] * x.max(axis=1) + model["bias"])
             p = 1 / (1 + np.exp(-np.clip(model["slope"] * np.concatenate(found) + model["offset"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], "score"])
 
