@@ -3,7 +3,8 @@
 Kernel: k(u, v) adds up DECAY ** (span in u + span in v) over all common subsequences of ORDER
 characters, gaps included, divided by sqrt(k(u, u) k(v, v)); letters inserted into an insult or
 left out of it lower the value and don't end the match.  A unit is a word (outer punctuation
-removed, lower case, long ones in overlapping windows) or a run of single characters joined.
+removed, lower case, long ones in overlapping windows; with and without inner punctuation) or a
+run of single characters joined.
 
 Landmarks are words of labelled training sentences, the ones whose presence best tells toxic
 from clean ones and that are not near each other in the kernel.  A text's feature for a landmark
@@ -105,12 +106,13 @@ class Landmarks:
     def values(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit, landmark, value) of the pairs that aren't 0.  Long units count by their best window."""
         of, parts = [], []
-        for i, u in enumerate(units):
-            if len(u) < ORDER:
-                continue
-            for at in range(0, max(1, len(u) - STRIDE), STRIDE) if len(u) > WINDOW else (0,):
-                of.append(i)
-                parts.append(u[at : at + WINDOW])
+        for i, whole in enumerate(units):
+            for u in {whole, "".join(filter(str.isalnum, whole))}:
+                if len(u) < ORDER:
+                    continue
+                for at in range(0, max(1, len(u) - STRIDE), STRIDE) if len(u) > WINDOW else (0,):
+                    of.append(i)
+                    parts.append(u[at : at + WINDOW])
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         of = np.array(of, np.int64)
         for a in range(0, len(parts), 2048):
