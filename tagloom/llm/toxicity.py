@@ -104,7 +104,7 @@ class Landmarks:
         self.need = np.maximum(ORDER, np.ceil(OVERLAP * self.lengths)).astype(np.int64)
 
     def values(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(unit, landmark, value) of the pairs that aren't 0.  Long units count by their best window."""
+        """(unit, landmark, value) of the pairs that aren't 0.  A unit's best window and reading count."""
         of, parts = [], []
         for i, whole in enumerate(units):
             for u in {whole, "".join(filter(str.isalnum, whole))}:
@@ -133,7 +133,11 @@ class Landmarks:
                 found.append((of[a + u[keep]], m[keep], k[keep]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        unit, mark, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        pair = unit * len(self.names) + mark
+        order = np.lexsort((value, pair))
+        best = order[np.append(np.diff(pair[order]) > 0, True)]
+        return unit[best], mark[best], value[best]
 
     def gram(self) -> np.ndarray:
         n = len(self.names)
