@@ -75,7 +75,7 @@ def solve(histogram: DataFrame, wanted: DataFrame, most: float = MAX_COPIES, ste
         state = stored(state)
         if state.filter(F.col("lam").isNotNull() & (F.col("left") > F.greatest(F.col("target") * tolerance, F.lit(1e-6)))).isEmpty():
             break
-        x = F.col("size") / F.col("mean")
+        x = F.col("size") / F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
         rate = F.least(F.exp(F.least(F.col("lam") * x, F.lit(700.0))), F.lit(float(most)))
         words = F.col("n") * F.col("size") * rate
         both = histogram.join(state.filter(F.col("lam").isNotNull()), histogram["source"].eqNullSafe(state["source"])).select(state["source"], "n", "size", "lam", "mean")
@@ -83,9 +83,9 @@ def solve(histogram: DataFrame, wanted: DataFrame, most: float = MAX_COPIES, ste
         moved = state.join(sums.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
         gap = F.col("got") - F.col("target")
         low, high = F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
-        step = F.col("lam") - gap / F.col("slope")
+        step = F.col("lam") - F.try_divide(gap, F.col("slope"))
         moved = moved.withColumn("left", F.abs(gap)).withColumn("low", low).withColumn("high", high)
-        new = F.when(F.col("left") == 0, F.col("lam")).when((F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high")), step).otherwise((F.col("low") + F.col("high")) / 2)
+        new = F.when(F.col("left") == 0, F.col("lam")).when((step > F.col("low")) & (step < F.col("high")), step).otherwise((F.col("low") + F.col("high")) / 2)
         state = moved.withColumn("lam", F.when(F.col("lam").isNotNull() & F.col("got").isNotNull(), new).otherwise(F.col("lam"))).withColumn("left", F.coalesce("left", F.lit(0.0))).drop("of", "got", "slope")
     return stored(state.withColumn("lam", F.round("lam", 9)))
 
