@@ -193,3 +193,23 @@ def concatenate_text(stream: DataFrame) -> DataFrame:
     kind = F.when(F.bool_or("is_text"), F.lit("Characters")).otherwise(F.first("type"))
     merged = marked.groupBy("doc_id", "island").agg(at.alias("at"), kind.alias("type"), data.alias("data"), *first)
     return merged.select("doc_id", "at.seq", "at.sub", "type", "ns", "name", "data", "public_id", "system_id", "attrs")
+
+
+def register(spark) -> None:
+    """SQL names: `html_nodes(html)`, a table function for LATERAL joins, and `parse_html(html)`."""
+    columns = "node_id int, parent_id int, enter_seq int, exit_seq int, depth int, child_idx int, kind string, ns string, name string, value string"
+
+    @F.udtf(returnType=columns)
+    class HtmlNodes:
+        def eval(self, html: str):
+            if html is not None:
+                names = [c.split()[0] for c in columns.split(", ")]
+                for node in parse_one(html, want=("nodes",))["nodes"]:
+                    yield tuple(node[n] for n in names)
+
+    @F.arrow_udf(f"struct<{DOCUMENT.replace(' array', ':array').replace(' string', ':string')}>")
+    def kernel(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else parse_one(x) for x in column.to_pylist()], _DOC_TYPE)
+
+    spark.udtf.register("html_nodes", HtmlNodes)
+    spark.udf.register("parse_html", kernel)

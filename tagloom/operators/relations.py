@@ -51,3 +51,13 @@ def main_tree(tree: DataFrame) -> DataFrame:
     """The root element and what is in it: the view of a tree without doctype and outer comments."""
     root = tree.filter((F.col("kind") == "element") & (F.col("depth") == 1)).select("doc_id", F.col("enter_seq").alias("a"), F.col("exit_seq").alias("b"))
     return tree.join(root, "doc_id").filter((F.col("enter_seq") >= F.col("a")) & (F.col("exit_seq") <= F.col("b"))).drop("a", "b")
+
+
+def flavour(tree: DataFrame, kind: str) -> DataFrame:
+    """The view of a tree that a tree library gives: "etree" the root element, "dom" all, "lxml" all with XML-safe names."""
+    from tagloom.operators.serialize import coerce_names
+
+    views = {"etree": main_tree, "dom": lambda t: t, "lxml": coerce_names}
+    if kind.lower() not in views:
+        raise ValueError(f"unknown tree flavour: {kind}")
+    return views[kind.lower()](tree)

@@ -235,8 +235,20 @@ def from_xml_name(name: str) -> str:
     return _ESCAPED.sub(lambda m: chr(int(m[1], 16)), name)
 
 
+_NO_PUBLIC_ID = re.compile(r"[^ \r\na-zA-Z0-9\-'()+,./:=?;!*#@$_%]")
+
+
+def xml_public_id(value: str) -> str:
+    """Characters that public identifiers lack, written as in `xml_name`."""
+    return _NO_PUBLIC_ID.sub(lambda m: f"U{ord(m[0]):05X}", value)
+
+
 def coerce_names(tree: DataFrame) -> DataFrame:
-    """A `nodes` relation with XML-safe element and attribute names, comments and public ids."""
+    """A `nodes` relation with XML-safe element and attribute names, comments, texts and public ids."""
+
+    @F.pandas_udf("string")
+    def public(values):
+        return values.map(lambda v: None if v is None else xml_public_id(v))
 
     @F.pandas_udf("string")
     def safe(names):
@@ -251,4 +263,5 @@ def coerce_names(tree: DataFrame) -> DataFrame:
     value = F.when(F.col("kind") == "comment", comment).when(F.col("kind") == "text", F.translate("value", "\f", " ")).otherwise(F.col("value"))
     renamed = F.transform(F.arrays_zip("attrs", "names"), lambda p: F.struct(p["attrs"]["ns"].alias("ns"), p["attrs"]["prefix"].alias("prefix"), p["names"].alias("name"), p["attrs"]["value"].alias("value")))
     out = tree.withColumn("names", safe_all(F.transform("attrs", lambda a: a["name"])))
+    out = out.withColumn("public_id", public("public_id"))
     return out.withColumn("attrs", renamed).withColumn("name", F.when(F.col("kind") == "element", safe("name")).otherwise(F.col("name"))).withColumn("value", value).drop("names")

@@ -174,3 +174,24 @@ def test_readers(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "b.html").write_text("<p>x")
     assert from_text(spark, str(tmp_path / "b")).count() == 1
+
+
+def test_sql_functions(spark):
+    from tagloom.operators.parse import register
+
+    register(spark)
+    pages(spark, "<p>a", None).createOrReplaceTempView("some_pages")
+    rows = spark.sql("SELECT page_id, n.name FROM some_pages, LATERAL html_nodes(html) AS n WHERE n.kind = 'element' ORDER BY enter_seq").collect()
+    assert [r["name"] for r in rows] == ["html", "head", "body", "p"]
+    assert spark.sql("SELECT parse_html(html).compat_mode AS m FROM some_pages").collect()[0]["m"] == "quirks"
+
+
+def test_flavours(spark):
+    t = tree(spark, '<!DOCTYPE html PUBLIC "a{b" ""><!--a--b--><x:y>')
+    assert R.flavour(t, "etree").filter("kind <> 'element'").count() == 0
+    assert R.flavour(t, "DOM").count() == t.count()
+    safe = R.flavour(t, "lxml").collect()
+    assert [r["public_id"] for r in safe if r["kind"] == "doctype"] == ["aU0007Bb"]
+    assert [r["value"] for r in safe if r["kind"] == "comment"] == ["a- -b"]
+    with pytest.raises(ValueError):
+        R.flavour(t, "other")
