@@ -62,23 +62,22 @@ def raw_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float =
     Dynamic programme over both texts, vectorised over the pairs.
     """
     pairs, la, lb = len(a), a.shape[1], b.shape[1]
-    match = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)
-    inner = np.ones((pairs, la + 1, lb + 1), np.float32)
-    square = np.float32(decay * decay)
-    for step in range(order):
-        got = match * inner[:, :-1, :-1] * square
-        if step == order - 1:
-            return got.sum(axis=(1, 2), dtype=np.float64)
-        inner = np.zeros_like(inner)
-        # inner[i, j]: subsequences that end anywhere before, their gap up to (i, j) included
-        row = np.zeros((pairs, lb + 1), np.float32)
-        for i in range(la):
-            along = np.zeros((pairs, lb + 1), np.float32)
-            for j in range(lb):
-                along[:, j + 1] = decay * along[:, j] + got[:, i, j]
-            row = decay * row + along
-            inner[:, i + 1] = row
-    return np.zeros(pairs)
+    x, y = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)  # pairs last: each step runs over memory in order
+    match = ((x[:, None] == y[None]) & (x[:, None] > 0)).astype(np.float32)
+    match *= np.float32(decay * decay)
+    got, decay = match, np.float32(decay)
+    for _ in range(order - 1):
+        # inner[i, j]: subsequences that end before (i, j), with their gap up to there
+        inner = np.zeros((la, lb, pairs), np.float32)
+        for i in range(1, la):
+            along = np.zeros(pairs, np.float32)
+            for j in range(1, lb):
+                along *= decay
+                along += got[i - 1, j - 1]
+                np.multiply(inner[i - 1, j], decay, out=inner[i, j])
+                inner[i, j] += along
+        got = match * inner
+    return got.sum(axis=(0, 1), dtype=np.float64)
 
 
 def self_kernel(a: np.ndarray) -> np.ndarray:
@@ -139,11 +138,13 @@ class Landmarks:
         best = order[np.append(np.diff(pair[order]) > 0, True)]
         return unit[best], mark[best], value[best]
 
+    def between(self, one: int, others: list[int]) -> np.ndarray:
+        """Kernel values of one landmark with others."""
+        a, b = self.matrix[[one], : self.lengths[one]], self.matrix[others, : self.lengths[others].max()]
+        return raw_kernel(np.repeat(a, len(others), axis=0), b) / np.sqrt(self.own[one] * self.own[others])
+
     def gram(self) -> np.ndarray:
-        n = len(self.names)
-        a, b = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
-        raw = [raw_kernel(self.matrix[a[i : i + 4096]], self.matrix[b[i : i + 4096]]) for i in range(0, n * n, 4096)]
-        return (np.concatenate([np.zeros(0), *raw]) / np.sqrt(self.own[a] * self.own[b])).reshape(n, n)
+        return np.array([self.between(i, list(range(len(self.names)))) for i in range(len(self.names))])
 
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’…–—"
@@ -217,9 +218,11 @@ def choose_landmarks(training: DataFrame, most: int = LANDMARKS) -> list[str]:
     names = [r["word"] for r in rows]
     if not names:
         return []
-    gram, chosen = Landmarks(names).gram(), []
+    every, chosen = Landmarks(names), []
     for i in range(len(names)):
-        if len(chosen) < most and all(gram[i, j] < 0.75 for j in chosen):
+        if len(chosen) == most:
+            break
+        if not chosen or every.between(i, chosen).max() < 0.75:
             chosen.append(i)
     return [names[i] for i in chosen]
 
