@@ -31,9 +31,11 @@ from tagloom.llm.quality import training_sample
 
 ORDER = 3
 DECAY = 0.7
-OVERLAP = 0.6
+OVERLAP = 0.7
 WINDOW, STRIDE = 24, 12
-LANDMARKS = 64
+LANDMARKS = 40
+#: A landmark is at most so near to those before it.
+APART = 0.55
 #: Words weighed as landmarks; the driver gets at most so many.
 CANDIDATES = 600
 #: At most so many labelled rows train, the first by a hash of their id.
@@ -41,7 +43,7 @@ MAX_TRAINING_ROWS = 20_000
 THRESHOLD = 0.7
 MIN_LETTERS, MAX_LETTERS = 4, 20
 #: Words a worker remembers before it forgets them all.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 def codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +108,7 @@ class Landmarks:
         """(unit, landmark, value) of the pairs that aren't 0.  A unit's best window and reading count."""
         of, parts = [], []
         for i, whole in enumerate(units):
-            for u in {whole, "".join(filter(str.isalnum, whole))}:
+            for u in (whole,) if whole.isalnum() else (whole, "".join(filter(str.isalnum, whole))):
                 if len(u) < ORDER:
                     continue
                 for at in range(0, max(1, len(u) - STRIDE), STRIDE) if len(u) > WINDOW else (0,):
@@ -116,7 +118,7 @@ class Landmarks:
         of = np.array(of, np.int64)
         for a in range(0, len(parts), 2048):
             matrix, lengths = codes(parts[a : a + 2048])
-            shared = np.minimum(letter_counts(matrix)[:, None, :], self.counts[None]).sum(axis=2, dtype=np.int64)
+            shared = np.minimum(letter_counts(matrix)[:, None, :], self.counts[None]).sum(axis=2, dtype=np.uint8)
             unit, mark = np.nonzero(shared >= self.need[None, :])
             order = np.argsort(lengths[unit], kind="stable")
             unit, mark = unit[order], mark[order]
@@ -222,7 +224,7 @@ def choose_landmarks(training: DataFrame, most: int = LANDMARKS) -> list[str]:
     for i in range(len(names)):
         if len(chosen) == most:
             break
-        if not chosen or every.between(i, chosen).max() < 0.75:
+        if not chosen or every.between(i, chosen).max() < APART:
             chosen.append(i)
     return [names[i] for i in chosen]
 
