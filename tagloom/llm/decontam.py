@@ -290,6 +290,10 @@ def _checked(text: np.ndarray, hits, listed):
         item, s, e, w, answer = listed[passage]
         a, b = max(0, at - len(w)), min(len(text), at + WINDOW + len(w))
         around = text[a:b].tolist()
+        there = set(around)
+        # no subsequence is longer than the words that occur at all
+        if sum(x in there for x in w) < PARAPHRASED * len(w) and (e - s < WINDOW or sum(x in there for x in w[s:e]) < PASSAGE * (e - s)):
+            continue
         share = lcs(w, around) / len(w)
         part = lcs(w[s:e], around) / (e - s)
         last = lcs(w[answer:], around) / max(1, len(w) - answer)
