@@ -11,8 +11,7 @@ from clean ones and that are not near each other in the kernel.  A text's featur
 is the highest kernel value of its units; K(landmarks, landmarks) ** -1/2 maps features to the
 Nystroem space, in which a squared-hinge support vector machine and a logistic calibration are
 fitted.  The value at the nearest landmark is one feature more: one insult is enough, however
-little the rest of a text resembles any.  Pairs whose letters overlap in less than OVERLAP of the landmark's letters have value 0:
-they share few of its subsequences.
+little the rest of a text resembles any.  Every pair of a unit and a landmark has its exact value.
 
 Defined cases: null and empty texts have no unit and so the features 0; null labels don't train;
 with no toxic or no clean training row every score is 0; repeated rows get equal scores; texts
@@ -21,6 +20,9 @@ are read whole.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,11 +33,10 @@ from tagloom.llm.quality import training_sample
 
 ORDER = 3
 DECAY = 0.7
-OVERLAP = 0.7
 WINDOW, STRIDE = 24, 12
-LANDMARKS = 40
+LANDMARKS = 64
 #: A landmark is at most so near to those before it.
-APART = 0.55
+APART = 0.75
 #: Words weighed as landmarks; the driver gets at most so many.
 CANDIDATES = 600
 #: At most so many labelled rows train, the first by a hash of their id.
@@ -82,30 +83,68 @@ def raw_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float =
     return got.sum(axis=(0, 1), dtype=np.float64)
 
 
-def self_kernel(a: np.ndarray) -> np.ndarray:
-    return np.maximum(raw_kernel(a, a), 1e-12)
-
-
-def letter_counts(matrix: np.ndarray) -> np.ndarray:
-    n = len(matrix)
-    flat = (np.arange(n)[:, None] * 32 + matrix).ravel()
-    out = np.bincount(flat, minlength=n * 32).reshape(n, 32)
-    out[:, 0] = 0
-    return np.minimum(out, 255).astype(np.uint8)
+@lru_cache(None)
+def places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all subsequences of ORDER of n characters, and DECAY ** span of each."""
+    at = np.array(list(combinations(range(n), ORDER)), np.int64).reshape(-1, ORDER)
+    return at, (DECAY ** (at[:, -1] - at[:, 0] + 1.0)).astype(np.float32)
+
+
+def subsequences(matrix: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 18):
+    """(rows, a number for each row's subsequences, their DECAY ** span) of rows of one length."""
+    for n in np.unique(lengths):
+        at, weight = places(int(n))
+        rows = np.flatnonzero(lengths == n)
+        if len(at) == 0:
+            continue
+        step = max(1, at_once // len(at))
+        for a in range(0, len(rows), step):
+            some = rows[a : a + step]
+            text = matrix[some].astype(np.int32)
+            key = text[:, at[:, 0]]
+            for j in range(1, ORDER):
+                key = key << 5 | text[:, at[:, j]]
+            yield some, key, weight
+
+
+def self_kernel(matrix: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The kernel of each row with itself before it is normalised."""
+    out = np.full(len(matrix), 1e-12)
+    for rows, key, weight in subsequences(matrix, lengths):
+        order = np.argsort(key, axis=1)
+        key = np.take_along_axis(key, order, axis=1)
+        new = np.ones(key.shape, bool)
+        new[:, 1:] = key[:, 1:] != key[:, :-1]
+        first = np.flatnonzero(new.ravel())
+        total = np.add.reduceat(weight[order].ravel(), first)
+        out[rows] = np.bincount(first // key.shape[1], total.astype(np.float64) ** 2, minlength=len(rows))
+    return out
 
 
 class Landmarks:
-    """Kernel values of units against fixed landmark words."""
+    """Kernel values of units against fixed landmark words.
+
+    The kernel is a dot product over all subsequences of ORDER characters; of a unit's, those
+    that no landmark has add nothing and are left out.
+    """
 
     def __init__(self, names: list[str]):
         self.names = names
-        self.matrix, self.lengths = codes(names)
-        self.counts = letter_counts(self.matrix)
-        self.own = self_kernel(self.matrix) if names else np.zeros(0)
-        self.need = np.maximum(ORDER, np.ceil(OVERLAP * self.lengths)).astype(np.int64)
-
-    def values(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(unit, landmark, value) of the pairs that aren't 0.  A unit's best window and reading count."""
+        matrix, lengths = codes(names)
+        marks, keys, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for rows, key, weight in subsequences(matrix, lengths):
+            marks.append(np.repeat(rows, key.shape[1]))
+            keys.append(key.ravel().astype(np.int64))
+            weights.append(np.tile(weight, len(rows)))
+        marks, keys, weights = np.concatenate(marks), np.concatenate(keys), np.concatenate(weights)
+        used, at = np.unique(keys, return_inverse=True)
+        self.row = np.full(1 << 5 * ORDER, -1, np.int32)
+        self.row[used] = np.arange(len(used))
+        table = np.bincount(at * len(names) + marks, weights, minlength=len(used) * len(names)).reshape(len(used), len(names))
+        self.table = (table / np.sqrt(np.maximum((table**2).sum(axis=0), 1e-12))).astype(np.float32)
+
+    def rows(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The units with a value that isn't 0, and their values at all landmarks.  A unit's best window and reading count."""
         of, parts = [], []
         for i, whole in enumerate(units):
             for u in (whole,) if whole.isalnum() else (whole, "".join(filter(str.isalnum, whole))):
@@ -114,39 +153,61 @@ class Landmarks:
                 for at in range(0, max(1, len(u) - STRIDE), STRIDE) if len(u) > WINDOW else (0,):
                     of.append(i)
                     parts.append(u[at : at + WINDOW])
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         of = np.array(of, np.int64)
-        for a in range(0, len(parts), 2048):
-            matrix, lengths = codes(parts[a : a + 2048])
-            shared = np.minimum(letter_counts(matrix)[:, None, :], self.counts[None]).sum(axis=2, dtype=np.uint8)
-            unit, mark = np.nonzero(shared >= self.need[None, :])
-            order = np.argsort(lengths[unit], kind="stable")
-            unit, mark = unit[order], mark[order]
-            own = np.zeros(len(matrix))
-            used = np.unique(unit)
-            for b in range(0, len(used), 1024):
-                own[used[b : b + 1024]] = self_kernel(matrix[used[b : b + 1024], : max(1, lengths[used[b : b + 1024]].max())])
-            for b in range(0, len(unit), 4096):
-                u, m = unit[b : b + 4096], mark[b : b + 4096]
-                k = raw_kernel(matrix[u, : lengths[u].max()], self.matrix[m, : self.lengths[m].max()])
-                k /= np.sqrt(own[u] * self.own[m])
-                keep = k > 0.05
-                found.append((of[a + u[keep]], m[keep], k[keep]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        unit, mark, value = (np.concatenate(x) for x in zip(*found, strict=True))
-        pair = unit * len(self.names) + mark
-        order = np.lexsort((value, pair))
-        best = order[np.append(np.diff(pair[order]) > 0, True)]
-        return unit[best], mark[best], value[best]
+        which, values = [np.zeros(0, np.int64)], [np.zeros((0, len(self.names)), np.float32)]
+        for a in range(0, len(parts), 4096):
+            matrix, lengths = codes(parts[a : a + 4096])
+            found = np.zeros((len(matrix), len(self.names)), np.float32)
+            for rows, key, weight in subsequences(matrix, lengths):
+                at = self.row[key]
+                r, t = np.nonzero(at >= 0)
+                if len(r):
+                    first = np.flatnonzero(np.append(True, np.diff(r) > 0))
+                    found[rows[r[first]]] = np.add.reduceat(self.table[at[r, t]] * weight[t, None], first, axis=0)
+            any_ = np.flatnonzero(found.any(axis=1))
+            found = found[any_] / np.sqrt(self_kernel(matrix[any_], lengths[any_]))[:, None].astype(np.float32)
+            unit = of[a + any_]
+            if len(unit):  # the parts of a unit follow each other
+                first = np.flatnonzero(np.append(True, np.diff(unit) > 0))
+                which.append(unit[first])
+                values.append(np.maximum.reduceat(found, first, axis=0))
+        return np.concatenate(which), np.concatenate(values)
 
-    def between(self, one: int, others: list[int]) -> np.ndarray:
-        """Kernel values of one landmark with others."""
-        a, b = self.matrix[[one], : self.lengths[one]], self.matrix[others, : self.lengths[others].max()]
-        return raw_kernel(np.repeat(a, len(others), axis=0), b) / np.sqrt(self.own[one] * self.own[others])
+    def values(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, landmark, value) of the pairs that aren't 0."""
+        unit, found = self.rows(units)
+        pairs: dict[int, np.ndarray] = {}
+        for u, x in zip(unit.tolist(), found, strict=True):
+            pairs[u] = np.maximum(pairs[u], x) if u in pairs else x
+        if not pairs:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        unit, found = np.array(list(pairs)), np.array(list(pairs.values()))
+        i, mark = np.nonzero(found)
+        return unit[i], mark, found[i, mark]
 
     def gram(self) -> np.ndarray:
-        return np.array([self.between(i, list(range(len(self.names)))) for i in range(len(self.names))])
+        return self.table.T.astype(np.float64) @ self.table
+
+
+class Known:
+    """The values of the words a worker has met."""
+
+    def __init__(self, marks: Landmarks):
+        self.marks, self.at = marks, {}
+        self.table, self.n = np.zeros((1024, len(marks.names)), np.float32), 0
+
+    def learn(self, new: list[str]) -> None:
+        self.at.update(dict.fromkeys(new, -1))
+        unit, found = self.marks.rows([unit_of(w) for w in new])
+        if self.n + len(found) > len(self.table):
+            self.table = np.concatenate([self.table[: self.n], np.zeros((max(len(found), self.n // 2), found.shape[1]), np.float32)])
+        for u, x in zip(unit.tolist(), found, strict=True):
+            if (at := self.at[new[u]]) >= 0:
+                np.maximum(self.table[at], x, out=self.table[at])
+            else:
+                self.at[new[u]] = self.n
+                self.table[self.n] = x
+                self.n += 1
 
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’…–—"
@@ -175,24 +236,20 @@ def units_by_row(data: np.ndarray, offsets: np.ndarray) -> list[set[str]]:
     return rows
 
 
-def pooled(rows: list[set[str]], marks: Landmarks, known: dict[str, list | None]) -> np.ndarray:
+def pooled(rows: list[set[str]], known: Known) -> np.ndarray:
     """Highest kernel value of each row's units against each landmark.  `known` is filled."""
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list(set().union(*rows).difference(known)) if rows else []
+    new = set().union(*rows).difference(known.at) if rows else set()
+    if new and len(known.at) > REMEMBERED:
+        known.at.clear()
+        known.n = 0
+        new = set().union(*rows)
     if new:
-        values: dict[int, list] = {}
-        for u, m, k in zip(*(x.tolist() for x in marks.values([unit_of(w) for w in new])), strict=True):
-            values.setdefault(u, []).append((m, k))
-        for i, w in enumerate(new):
-            known[w] = values.get(i)
-    out = np.zeros((len(rows), len(marks.names)))
+        known.learn(list(new))
+    out = np.zeros((len(rows), len(known.marks.names)))
     for i, row in enumerate(rows):
-        for w in row:
-            if (found := known[w]) is not None:
-                for m, k in found:
-                    if k > out[i, m]:
-                        out[i, m] = k
+        at = [a for w in row if (a := known.at[w]) >= 0]
+        if at:
+            out[i] = known.table[at].max(axis=0)
     return out
 
 
@@ -220,11 +277,11 @@ def choose_landmarks(training: DataFrame, most: int = LANDMARKS) -> list[str]:
     names = [r["word"] for r in rows]
     if not names:
         return []
-    every, chosen = Landmarks(names), []
+    near, chosen = Landmarks(names).gram(), []
     for i in range(len(names)):
         if len(chosen) == most:
             break
-        if not chosen or every.between(i, chosen).max() < APART:
+        if not chosen or near[i, chosen].max() < APART:
             chosen.append(i)
     return [names[i] for i in chosen]
 
@@ -274,9 +331,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     marks = Landmarks(names)
 
     def describe(batches):
-        known: dict = {}
+        known = Known(marks)
         for batch in batches:
-            x = [np.zeros((0, len(names)))] + [pooled(units_by_row(data, offsets), marks, known) for _, data, offsets in text_slices(batch.column(2))]
+            x = [np.zeros((0, len(names)))] + [pooled(units_by_row(data, offsets), known) for _, data, offsets in text_slices(batch.column(2))]
             x = np.concatenate(x).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
@@ -296,11 +353,11 @@ def score_toxicity(docs: DataFrame, model: dict | None, id_cols: list[str], text
         return rows.drop("__text").withColumn("score", F.lit(0.0))
 
     def score(batches):
-        marks, known = Landmarks(model["names"]), {}
+        known = Known(Landmarks(model["names"]))
         for batch in batches:
             found = [np.zeros(0)]
             for _, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
-                x = pooled(units_by_row(data, offsets), marks, known)
+                x = pooled(units_by_row(data, offsets), known)
                 found.append(x @ model["weights"] + model["nearest"] * x.max(axis=1) + model["bias"])
             p = 1 / (1 + np.exp(-np.clip(model["slope"] * np.concatenate(found) + model["offset"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], "score"])

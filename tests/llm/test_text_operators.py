@@ -241,3 +241,21 @@ def test_training_never_lowers_likelihood():
         assert math.isclose(a.sum(), 20, rel_tol=1e-3) and math.isclose(b.sum(), 580, rel_tol=1e-3) and math.isclose(c.sum(), 600, rel_tol=1e-3)
         assert value >= last - 1e-2
         model, last = (a / a.sum(), b / b.sum(1, keepdims=True), c / c.sum(1, keepdims=True)), value
+
+
+def test_every_pair_has_its_kernel_value(spark):
+    names, units = ["idiot", "moron", "worthless", "blockhead"], ["idt", "mrn", "idiot", "wrthls", "block-head", "x" * 60, "ab"]
+    unit, mark, value = toxicity.Landmarks(names).values(units)
+    got = {(units[u], names[m]): v for u, m, v in zip(unit.tolist(), mark.tolist(), value.tolist(), strict=True)}
+    k = lambda a, b: plain_kernel(a, b, toxicity.ORDER, toxicity.DECAY)
+    for u in units[:4]:
+        for m in names:
+            assert math.isclose(got.get((u, m), 0.0), k(u, m) / math.sqrt(k(u, u) * k(m, m)), rel_tol=1e-4, abs_tol=1e-6)
+    assert got["idt", "idiot"] > 0.15 and got["mrn", "moron"] > 0.15 and got["block-head", "blockhead"] > 0.999
+
+
+def test_as_many_landmarks_as_insults(spark, docs):
+    insults = ["".join(np.random.default_rng(i).choice(list("bcdfghjklmnpqrstvwxz"), 9)) for i in range(60)]
+    texts = [f"you {w} there" for w in insults for _ in range(3)] + ["the tree is green"] * 60
+    training = docs(*texts).selectExpr("cast(doc_id < 180 as int) as label", "text")
+    assert set(insults) <= set(toxicity.choose_landmarks(training))
