@@ -5,9 +5,10 @@ emits a class: each of the HEAD most frequent words is a class, as is the end; o
 share TAIL classes by hash.  Within a class a word has its share of the class's counts, all
 counts raised by 1, and one further share for words never seen:
 P(text) = sum over state paths of prod T * E(class) * P(word | class), times the end's.
-Baum-Welch counts of every training text are added up across partitions, ROUNDS times; to keep
-arrays short, training cuts texts into chains of CHAIN tokens.  Scoring runs the scaled
-forward recursion over whole texts, so the likelihood is exact.
+Baum-Welch counts of every training text are added up across partitions, ROUNDS times.  Training
+works off a text in chains of CHAIN tokens side by side; what each hands to its neighbours is
+computed first, so the counts are those of whole texts.  Scoring runs the scaled forward
+recursion over whole texts, so the likelihood is exact.
 
 The word counts grow with the corpus and never meet in one place: texts are dealt into blocks
 by a hash, each block asks for the counts of its own words by a join, and gets them back beside
@@ -82,10 +83,43 @@ def start_model(n_classes: int, frequencies: np.ndarray, states: int = STATES, s
     return np.full(states, 1.0 / states), t / t.sum(1, keepdims=True), e / e.sum(1, keepdims=True)
 
 
+def carried(classes: np.ndarray, first: np.ndarray, n: np.ndarray, text: np.ndarray, nth: np.ndarray, model) -> tuple[np.ndarray, np.ndarray]:
+    """For chains of texts that have several: the state mix before each, and what follows it (beta at its end).
+
+    The chains' transfer matrices are built side by side; then each text's are applied one after
+    the other, forth and back.  Chains come in order of falling length n.
+    """
+    start, t, e = model
+    s, m = len(start), len(first)
+    e32, t32 = e.T.astype(np.float32), t.astype(np.float32)
+    over = np.where((nth == 0)[:, None, None], np.eye(s, dtype=np.float32), t32)
+    for i in range(int(n[0]) if m else 0):
+        k = int(np.searchsorted(-n, -i, "left"))
+        if i:
+            over[:k] = over[:k] @ t32
+        over[:k] *= e32[classes[first[:k] + i]][:, None, :]
+        over[:k] /= np.maximum(over[:k].sum(axis=(1, 2), keepdims=True), 1e-30)
+    # chain number by chain number; in one number each text has one chain at most
+    order = np.lexsort((text, nth))
+    cuts = np.searchsorted(nth[order], np.arange(int(nth.max(initial=-1)) + 2))
+    before, after = np.tile(start.astype(np.float64), (m, 1)), np.ones((m, s))
+    steps = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    for old, new in zip(steps[:-1], steps[1:], strict=True):
+        old = old[np.searchsorted(text[old], text[new])]
+        x = np.einsum("ij,ijk->ik", before[old], over[old])
+        before[new] = x / np.maximum(x.sum(1, keepdims=True), 1e-300)
+    for old, new in zip(steps[-2::-1], steps[:0:-1], strict=True):
+        old = old[np.searchsorted(text[old], text[new])]
+        x = np.einsum("ijk,ik->ij", over[new], after[new])
+        after[old] = x / np.maximum((before[new] * x).sum(1, keepdims=True), 1e-300)
+    return before.astype(np.float32), after.astype(np.float32)
+
+
 def chain_counts(classes: np.ndarray, bounds: np.ndarray, model, length: int = CHAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, transitions and emissions of the texts, cut into chains.
+    """Expected starts, transitions and emissions of whole texts.
 
-    A chain that continues a text starts from the uniform state mix of the model's start.
+    Texts are worked off in chains side by side; a chain begins with the state mix that the ones
+    before it leave, and ends with what follows it.
     """
     start, t, e = model
     s = len(start)
@@ -96,12 +130,18 @@ def chain_counts(classes: np.ndarray, bounds: np.ndarray, model, length: int = C
     first = bounds[:-1][text] + nth * length
     n = np.minimum(length, bounds[1:][text] - first)
     order = np.argsort(-n, kind="stable")
-    first, n = first[order], n[order]
+    first, n, text, nth = first[order], n[order], text[order], nth[order]
     m = len(first)
+    before, beta = np.tile(start.astype(np.float32), (m, 1)), np.ones((m, s), np.float32)
+    several = np.flatnonzero(per[text] > 1)
+    before[several], beta[several] = carried(classes, first[several], n[several], text[several], nth[several], model)
+    goes_on = np.flatnonzero((nth > 0) & (n > 0))
     running = [int(np.searchsorted(-n, -i, "left")) for i in range(length)]  # chains longer than i
     alpha = np.zeros((length, m, s), np.float32)
     scale = np.ones((length, m), np.float32)
     e32, t32 = e.T.astype(np.float32), t.astype(np.float32)
+    arrives = before.copy()
+    arrives[goes_on] = before[goes_on] @ t32
     out: list[np.ndarray] = []
     for i in range(length):
         k = running[i]
@@ -109,11 +149,10 @@ def chain_counts(classes: np.ndarray, bounds: np.ndarray, model, length: int = C
             break
         b = e32[classes[first[:k] + i]]
         out.append(b)
-        a = (start.astype(np.float32)[None] if i == 0 else alpha[i - 1, :k] @ t32) * b
+        a = (arrives[:k] if i == 0 else alpha[i - 1, :k] @ t32) * b
         c = np.maximum(a.sum(1), 1e-30)
         alpha[i, :k] = a / c[:, None]
         scale[i, :k] = c
-    beta = np.ones((m, s), np.float32)
     trans = np.zeros((s, s))
     emit = np.zeros((e.shape[1], s))
     starts = np.zeros(s)
@@ -123,10 +162,11 @@ def chain_counts(classes: np.ndarray, bounds: np.ndarray, model, length: int = C
         kind = classes[first[:k] + i]
         for j in range(s):
             emit[:, j] += np.bincount(kind, gamma[:, j], minlength=len(emit))
+        weighted = out[i] * beta[:k] / scale[i, :k, None]
         if i == 0:
-            starts += gamma.sum(0, dtype=np.float64)
+            starts += gamma[nth[:k] == 0].sum(0, dtype=np.float64)
+            trans += before[goes_on].T.astype(np.float64) @ weighted[goes_on]
             break
-        weighted = out[i] * beta[:k] / scale[i, :k, None]
         trans += alpha[i - 1, :k].T.astype(np.float64) @ weighted
         beta[:k] = weighted @ t32.T
     return starts, trans * t, emit.T, float(np.log(scale).sum())

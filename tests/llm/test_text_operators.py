@@ -259,3 +259,30 @@ def test_as_many_landmarks_as_insults(spark, docs):
     texts = [f"you {w} there" for w in insults for _ in range(3)] + ["the tree is green"] * 60
     training = docs(*texts).selectExpr("cast(doc_id < 180 as int) as label", "text")
     assert set(insults) <= set(toxicity.choose_landmarks(training))
+
+
+def test_training_counts_of_long_texts_equal_plain_baum_welch():
+    rng = np.random.default_rng(6)
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    start, t, e = model = norm(rng.random(3)), norm(rng.random((3, 3)) + 4 * np.eye(3)), norm(rng.random((3, 9)))
+    sizes = [500, 1, 64, 65, 128, 129, 10]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    classes = rng.integers(0, 9, bounds[-1])
+    starts, trans, emit, total = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 9)), 0.0
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        x, alphas, c = classes[a:b], [], []
+        for i, k in enumerate(x):
+            v = (start if i == 0 else alphas[-1] @ t) * e[:, k]
+            c.append(v.sum())
+            alphas.append(v / c[-1])
+        beta = np.ones(3)
+        for i in range(len(x) - 1, -1, -1):
+            emit[:, x[i]] += alphas[i] * beta
+            if i:
+                trans += np.outer(alphas[i - 1], e[:, x[i]] * beta / c[i]) * t
+                beta = t @ (e[:, x[i]] * beta) / c[i]
+        starts += alphas[0] * beta
+        total += np.log(c).sum()
+    got = hmm.chain_counts(classes, bounds, model)
+    for mine, plain in zip(got, (starts, trans, emit, total), strict=True):
+        assert np.allclose(mine, plain, rtol=1e-3, atol=1e-3)
