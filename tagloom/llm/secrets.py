@@ -34,13 +34,17 @@ KINDS = ("assign", "access", "hex", "random")
 #: Known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512 in hexadecimal).
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 DIGEST = re.compile(r"[0-9a-fA-F]+")
-#: Known identifiers: UUIDs, plain numbers and dates, and names in snake, kebab or path form.
-IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[0-9][0-9_/=+-]*|(?:[A-Za-z]{1,12}[0-9]{0,4}[/_=+-]+)*[A-Za-z]{2,}[0-9]{0,4}=*")
+#: Known identifiers: UUIDs, plain numbers and dates; and names in snake, kebab or path form, if their words take few tokens.
+IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[0-9][0-9_/=+-]*")
+NAME = re.compile(r"(?:[A-Za-z]{1,12}[0-9]{0,4}[/_=+-]+)*[A-Za-z]{2,}[0-9]{0,4}=*")
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_RANDOM = 12, 18, 16, 16
 MAX_CHARS_PER_TOKEN = 2.0
+#: The same for letters of one case (or one capital first), as rare ordinary words come near 2.
+ONE_CASE = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+")
+ONE_CASE_SHARE = 0.95
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -64,13 +68,23 @@ def characters_per_token(text: str, path: str) -> float:
     return len(text) / max(1, len(encoding(path).encode_ordinary(text)))
 
 
+def is_name(text: str, path: str, most: float) -> bool:
+    """Whether `text` has the form of a name and its words of 4 letters and more take few tokens."""
+    if not NAME.fullmatch(text):
+        return False
+    found = [w for w in re.findall("[A-Za-z]+", text) if len(w) >= 4]
+    return not found or sum(map(len, found)) > most * sum(len(encoding(path).encode_ordinary(w)) for w in found)
+
+
 def looks_random(text: str, path: str = VOCABULARY, most: float = MAX_CHARS_PER_TOKEN) -> bool:
-    """Mixed letters and digits that take many tokens, and no known digest or identifier."""
-    if not (re.search("[0-9]", text) and re.search("[A-Za-z]", text)):
+    """Letters, with digits or without, that take many tokens, and no known digest or identifier."""
+    if not re.search("[A-Za-z]", text):
         return False
     if len(text) in DIGEST_LENGTHS and DIGEST.fullmatch(text) or IDENTIFIER.fullmatch(text):
         return False
-    return characters_per_token(text, path) <= most
+    if ONE_CASE.fullmatch(text):
+        most *= ONE_CASE_SHARE
+    return characters_per_token(text, path) <= most and not is_name(text, path, most)
 
 
 def spans_of(text: str, path: str = VOCABULARY, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
@@ -102,8 +116,8 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts, ends = boundaries(_CANDIDATE[data], offsets)
     long = ends - starts >= MIN_RANDOM
     starts, ends = starts[long], ends[long]
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-    places += starts[digits[ends] > digits[starts]].tolist()
+    letters = np.concatenate([[0], np.cumsum((data | 32 >= 97) & (data | 32 <= 122))])
+    places += starts[letters[ends] > letters[starts]].tolist()
     if places:
         out[np.searchsorted(offsets, np.array(places), "right") - 1] = True
     return out

@@ -286,3 +286,14 @@ def test_training_counts_of_long_texts_equal_plain_baum_welch():
     got = hmm.chain_counts(classes, bounds, model)
     for mine, plain in zip(got, (starts, trans, emit, total), strict=True):
         assert np.allclose(mine, plain, rtol=1e-3, atol=1e-3)
+
+
+def test_random_letters_are_found(spark, docs):
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    made = ["".join(rng.choice(letters, n)) for n in (16, 20, 24, 32, 40) for _ in range(40)]
+    made += ["".join(rng.choice(letters[:26], 32)) + "7" for _ in range(40)]
+    rows = secrets.secrets_report(docs(*(f"is {w} it" for w in made))).collect()
+    assert sum(r.n_random for r in rows) > 0.97 * len(made)
+    names = ("get_user_name_by_id2", "path/to/some/other/file1", "incomprehensibilities", "InternationalizationSupport", "2024-01-01/2024-12-31")
+    assert not any(secrets.looks_random(w) for w in names)
