@@ -138,13 +138,15 @@ def remainder(column: str, modulus: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under the session's checkpoint directory, which all executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder becomes it.
+    Only where the session names none and runs on one machine a temporary folder becomes it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tagloom-")
         spark.sparkContext.setCheckpointDir(base)
     elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -157,7 +159,40 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes what `stored` wrote for `frames`; nothing may still be computed from them."""
+    for df in frames:
+        if path := getattr(df, "_folder", None):
+            remove_folder(df.sparkSession, path)
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, spread: str, shares: int = 1000) -> DataFrame:
+    """left inner join right on `key`, frequent keys of `left` in parts.
+
+    A key with more than 1/shares of all rows of `left` is cut into parts of about that size by a
+    hash of column `spread`, and its rows of `right` are repeated for each part.  There are fewer
+    than `shares` such keys, so the table of them is broadcast, and at most 2 * shares parts.
+    """
+    counts = stored(left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")))
+    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    hot = counts.filter(F.col("__n") * shares > max(total, 100 * shares)).select(F.col(key).alias("__key"), F.ceil(F.col("__n") * shares / F.lit(max(total, 1))).cast("int").alias("__parts"))
+    hot = F.broadcast(stored(hot))
+    part = F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("__parts")))
+    one = left.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__part", part.cast("int")).drop("__key", "__parts")
+    all_parts = F.when(F.col("__parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__parts") - 1))
+    other = right.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__part", F.explode(all_parts)).drop("__key", "__parts")
+    return one.join(other, [key, "__part"]).drop("__part")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,16 +203,15 @@ def summed_blocks(rows: DataFrame, fan_in: int = 16) -> DataFrame:
     """Adds up binary float64 vectors: (slot int, part int, data binary) to one row a slot.
 
     Two levels, so that no task reads more than the square root of all partial vectors at once;
-    vectors of one slot have one length.
+    vectors of one slot have one length.  `part` must be a function of the vector, so that reruns agree.
     """
     schema = "slot int, part int, data binary"
 
     def add(key, table):
         total = None
-        for chunk in table.column("data").chunks:
-            for x in chunk:
-                v = np.frombuffer(x.as_buffer(), np.float64)
-                total = v.copy() if total is None else np.add(total, v, out=total)
+        for x in sorted(table.column("data").to_pylist()):  # sums of doubles depend on the order
+            v = np.frombuffer(x, np.float64)
+            total = v.copy() if total is None else np.add(total, v, out=total)
         return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py() if len(key) > 1 else 0], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
     some = rows.select("slot", (F.abs(F.col("part")) % fan_in).cast("int").alias("part"), "data")

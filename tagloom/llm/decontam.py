@@ -2,17 +2,21 @@
 
 Passages are windows of WINDOW words, STRIDE apart, as TF-IDF vectors over hashed words; inverse
 document frequencies come from all documents.  A randomised singular value decomposition of the
-benchmark's passages, by subspace iteration with sums over partitions, gives a latent space of RANK dimensions.  Every window of
+benchmark's passages, by subspace iteration with sums over partitions, gives a latent space of RANK to MAX_RANK dimensions.  Every window of
 every document is projected; its cosine with each benchmark passage in that space makes
 candidates.  A candidate is then read word by word: the longest common
 subsequence of the benchmark text and the document around the window must hold most of the text
 (or of one of its passages), or, for a paraphrase, a good part of the text and nearly all of its
 answer, its last sentence.
 
-The benchmark is the query set; it is searched in blocks of BLOCK passages, one scan of the
-documents each.  Words are compared in lower case (A-Z) without outer punctuation.
+The benchmark is the query set; it is searched in blocks of BLOCK passages or BLOCK_WORDS words,
+one scan of the documents each.  Words are compared in lower case (A-Z) without outer punctuation.
+A candidate around which too few of the item's words occur at all can't hold a long enough
+subsequence and is dropped unread; that changes no result.
 
-Defined cases: null and empty texts match nothing on either side; benchmark texts of fewer than
+Defined cases: null and empty texts match nothing on either side; null ids are ids like others;
+an empty table on either side gives no rows; of windows that tie for an item, the first counts;
+other columns are ignored; benchmark texts of fewer than
 LEAST words count as too short to tell and match nothing; repeated rows give repeated results
 for documents and one for benchmark rows of one id and text; long texts are searched whole.
 """
@@ -28,13 +32,18 @@ from tagloom.llm.common import VALUES_LOWER, boundaries, mix64, span_hashes, sto
 
 BITS = 18
 WINDOW, STRIDE = 24, 12
-RANK, EXTRA, POWER = 128, 10, 2
-COSINE = 0.6
+#: The latent space has a dimension for 16 passages, within these bounds.
+RANK, MAX_RANK = 128, 512
+EXTRA, POWER = 10, 2
+COSINE = 0.5
 LEAST = 6
 #: Shares of the text, of one passage, and of text and answer of a paraphrase, that must be found.
 COPIED, PASSAGE, PARAPHRASED, ANSWER = 0.6, 0.75, 0.45, 0.8
-BLOCK = 16384
+#: Passages, and words of their items, that one scan of the documents looks for.
+BLOCK, BLOCK_WORDS = 16384, 1 << 20
 SLICE = 1 << 18
+#: Cosines held at a time, and words of candidates looked at at a time.
+DENSE, FLAT = 1 << 21, 1 << 20
 
 _WORDLIKE = np.zeros(256, bool)
 _WORDLIKE[48:58] = _WORDLIKE[65:91] = _WORDLIKE[97:123] = _WORDLIKE[128:] = True
@@ -58,17 +67,26 @@ def buckets_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def lcs(mine: list[int], other: list[int]) -> int:
-    """Length of the longest common subsequence, bit-parallel over `mine`."""
+def _marks(mine: list[int]) -> dict[int, int]:
+    """The places of each word as bits."""
     marks: dict[int, int] = {}
     for i, w in enumerate(mine):
         marks[w] = marks.get(w, 0) | 1 << i
-    full = (1 << len(mine)) - 1
+    return marks
+
+
+def _lcs(marks: dict[int, int], n: int, other: list[int]) -> int:
+    full = (1 << n) - 1
     s = full
     for w in other:
-        u = s & marks.get(w, 0)
-        s = (s + u | s - u) & full
-    return len(mine) - s.bit_count()
+        if u := s & marks.get(w, 0):
+            s = (s + u | s - u) & full
+    return n - s.bit_count()
+
+
+def lcs(mine: list[int], other: list[int]) -> int:
+    """Length of the longest common subsequence, bit-parallel over `mine`."""
+    return _lcs(_marks(mine), len(mine), other)
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
@@ -102,8 +120,8 @@ def windows_of(n: int) -> list[tuple[int, int]]:
     return [(s, s + WINDOW) for s in starts]
 
 
-def benchmark_passages(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item, number, start, stop, words binary (hashes of the whole text), answer (where it begins)."""
+def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """item, words binary (hashes of the whole text), answer (where it begins), one row a distinct item and text."""
     kind = benchmark.schema[id_col].dataType.simpleString()
 
     def cut(batches):
@@ -111,21 +129,33 @@ def benchmark_passages(benchmark: DataFrame, id_col: str, text_col: str) -> Data
             out: list[tuple] = []
             for lo, data, offsets in text_slices(batch.column(1)):
                 h, bounds = word_hashes(data, offsets)
-                starts, ends, _ = words(data, offsets)
+                _, ends, _ = words(data, offsets)
                 for i in range(len(offsets) - 1):
                     a, b = bounds[i], bounds[i + 1]
                     if b - a < LEAST:
                         continue
                     stops = np.flatnonzero(np.isin(data[ends[a : b - 1] - 1], [46, 33, 63])) + 1  # words after . ! ?
                     answer = int(stops[-1]) if len(stops) else int((b - a) * 3 // 4)
-                    for j, (s, e) in enumerate(windows_of(b - a)):
-                        out.append((batch.column(0)[lo + i].as_py(), j, s, e, h[a:b].tobytes(), answer))
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["item", "number", "start", "stop", "words", "answer"])
+                    out.append((batch.column(0)[lo + i].as_py(), h[a:b].tobytes(), answer))
+            columns = list(zip(*out, strict=True)) if out else [()] * 3
+            types = [batch.schema.field(0).type, pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["item", "words", "answer"])
 
     rows = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
-    return rows.mapInArrow(cut, f"item {kind}, number int, start int, stop int, words binary, answer int")
+    return rows.mapInArrow(cut, f"item {kind}, words binary, answer int")
+
+
+def passages_of(items: DataFrame) -> DataFrame:
+    """words binary: the words of each passage, one row a passage."""
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for w in batch.column(0).to_pylist():
+                out += [w[8 * s : 8 * e] for s, e in windows_of(len(w) // 8)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["words"])
+
+    return items.select("words").mapInArrow(cut, "words binary")
 
 
 def passage_vector(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +176,8 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> tupl
     def used(batches):
         mark = np.zeros(1 << BITS, bool)
         for batch in batches:
-            for s, e, w in zip(*(batch.column(c).to_pylist() for c in ("start", "stop", "words")), strict=True):
-                mark[buckets_of(np.frombuffer(w, np.uint64)[s:e])] = True
+            for w in batch.column(0).to_pylist():
+                mark[buckets_of(np.frombuffer(w, np.uint64))] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(mark).astype(np.int32))], names=["bucket"])
 
     ids = np.array(sorted(r["bucket"] for r in passages.mapInArrow(used, "bucket int").distinct().collect()), np.int64)
@@ -157,8 +187,8 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> tupl
     sent_column = context.broadcast(column)
 
     def rows_of(batch):
-        for s, e, w in zip(*(batch.column(c).to_pylist() for c in ("start", "stop", "words")), strict=True):
-            key, value = passage_vector(np.frombuffer(w, np.uint64)[s:e], sent_idf.value)
+        for w in batch.column(0).to_pylist():
+            key, value = passage_vector(np.frombuffer(w, np.uint64), sent_idf.value)
             yield sent_column.value[key], value / max(np.linalg.norm(value), 1e-12)
 
     step = max(1, (1 << 20) // width)
@@ -199,51 +229,110 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> tupl
     return column, q @ vector[:, keep]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK, cosine: float = COSINE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int | None = None, cosine: float = COSINE) -> DataFrame:
     """One row a document and benchmark item found in it: ids, cosine, lcs, passage and answer shares, start and stop (words)."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item {item_kind}, cosine double, lcs double, passage double, answer double, start long, stop long"
-    passages = stored(benchmark_passages(benchmark, item_col, item_text_col))
+    items = stored(benchmark_items(benchmark, item_col, item_text_col))
+    passages = stored(passages_of(items))
+    n_passages = passages.count()
     frequency, n_docs = document_frequencies(docs, text_col)
     idf = np.log((1.0 + n_docs) / (1.0 + frequency)) + 1e-3
-    column, space = latent_space(passages, idf, rank)
+    column, space = latent_space(passages, idf, rank or min(MAX_RANK, max(RANK, n_passages // 16)))
     context = docs.sparkSession.sparkContext
     # a row of zeros at the end takes the words that the benchmark doesn't use
     used = np.flatnonzero(column >= 0)
     weighted = np.vstack([space * idf[used][:, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
     model = context.broadcast((np.where(column >= 0, column, len(used)).astype(np.int32), weighted))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    n_passages = passages.count()
-    blocks = max(1, -(-n_passages // BLOCK))
+    n_words = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 8
+    blocks = max(1, -(-n_passages // BLOCK), -(-n_words // BLOCK_WORDS))
     found = None
     for b in range(blocks):
-        own = passages.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else passages
-        queries = [(r["item"], r["start"], r["stop"], np.frombuffer(r["words"], np.uint64).tolist(), r["answer"]) for r in own.orderBy("item", "words", "number").collect()]
+        own = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b) if blocks > 1 else items
+        queries = []
+        for r in own.orderBy("item", "words").collect():
+            w = np.frombuffer(r["words"], np.uint64).tolist()
+            queries += [(r["item"], s, e, w, r["answer"]) for s, e in windows_of(len(w))]  # the passages share one list
         part = rows.mapInArrow(_searcher(context.broadcast(queries), model, cosine), schema)
         found = part if found is None else found.unionByName(part)
     return found.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
 
 
+class _Passages:
+    """What a task needs of a block of passages: latent vectors, words, and which words an item has."""
+
+    def __init__(self, listed, column: np.ndarray, weighted: np.ndarray):
+        self.listed, self.column, self.weighted = listed, column, weighted
+        self.none = len(weighted) - 1
+        kinds = [column[buckets_of(np.array(w, np.uint64))] for _, _, _, w, _ in listed]
+        latent = np.array([weighted[k[s:e]].sum(axis=0) for k, (_, s, e, _, _) in zip(kinds, listed, strict=True)])
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        self.latent = np.ascontiguousarray(latent.T)
+        self.length = np.array([len(w) for _, _, _, w, _ in listed], np.int64)
+        # as many words must be found, in order, for any of the three rules
+        whole = np.ceil(self.length * min(COPIED, PARAPHRASED) - 1e-9).astype(np.int64)
+        part = np.array([int(np.ceil((e - s) * PASSAGE - 1e-9)) if e - s >= WINDOW else 1 << 40 for _, s, e, _, _ in listed], np.int64)
+        self.need = np.minimum(whole, part)
+        numbers: dict = {}
+        self.item = np.array([numbers.setdefault(id(x[3]), len(numbers)) for x in listed], np.int64)
+        keys, local, times, seen = [], [], [], set()
+        for i, k in zip(self.item.tolist(), kinds, strict=True):
+            if i not in seen:
+                seen.add(i)
+                word, n = np.unique(k, return_counts=True)
+                keys.append(i * np.int64(self.none + 1) + word)
+                local.append(np.arange(len(word)))
+                times.append(n)
+        keys, self.local, self.times = np.concatenate(keys), np.concatenate(local), np.concatenate(times).astype(np.int32)
+        order = np.argsort(keys)
+        self.keys, self.local, self.times = keys[order], self.local[order], self.times[order]
+        self.widest = int(self.local.max()) + 1
+        # a filter before the search in `keys`: most words of a text are not the item's
+        bits = max(16, int(len(self.keys) * 32).bit_length())
+        self.mask = np.uint32((1 << bits) - 1)
+        rng = np.random.default_rng(5)
+        self.word_mix = rng.integers(0, 1 << 32, self.none + 1, np.uint32)
+        self.item_mix = rng.integers(0, 1 << 32, len(numbers), np.uint32)
+        self.filter = np.zeros(1 << bits, bool)
+        self.filter[(self.word_mix[self.keys % (self.none + 1)] ^ self.item_mix[self.keys // (self.none + 1)]) & self.mask] = True
+        self.marks = [(_marks(w), _marks(w[s:e]), _marks(w[a:])) for _, s, e, w, a in listed]
+
+    def enough(self, kind: np.ndarray, mixed: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of a passage j and words a..b, those in which enough of the item's words occur at all."""
+        out = []
+        ends = np.cumsum(b - a)
+        lo = 0
+        while lo < len(j):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + FLAT, "right")))
+            x, size, item = a[lo:hi], (b - a)[lo:hi], self.item[j[lo:hi]]
+            before = np.cumsum(size) - size
+            at = np.repeat(x - before, size) + np.arange(size.sum())
+            maybe = np.flatnonzero(self.filter[(mixed[at] ^ np.repeat(self.item_mix[item], size)) & self.mask])
+            pair = np.searchsorted(before, maybe, "right") - 1
+            key = item[pair] * np.int64(self.none + 1) + kind[at[maybe]]
+            slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[slot] == key)
+            found = np.zeros((hi - lo, self.widest), np.int32)
+            found[pair[hit], self.local[slot[hit]]] = self.times[slot[hit]]
+            out.append(lo + np.flatnonzero(found.sum(axis=1) >= self.need[j[lo:hi]]))
+            lo = hi
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def _searcher(queries, model, cosine: float):
     def search(batches):
-        column, weighted = model.value
-        listed = queries.value
-        if not listed:
+        if not queries.value:
             return
-        latent = []
-        for _, s, e, w, _ in listed:
-            latent.append(weighted[column[buckets_of(np.array(w[s:e], np.uint64))]].sum(axis=0))
-        latent = np.array(latent)
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        latent = np.ascontiguousarray(latent.T)
+        block = _Passages(queries.value, *model.value)
         names = ["id", "item", "cosine", "lcs", "passage", "answer", "start", "stop"]
         for batch in batches:
             out: list[tuple] = []
             for lo, data, offsets in text_slices(batch.column(1), SLICE):
                 h, bounds = word_hashes(data, offsets)
-                for i, hits in _candidates(h, bounds, column, weighted, latent, cosine):
+                for i, hits in _candidates(h, bounds, block, cosine):
                     text = h[bounds[i] : bounds[i + 1]]
-                    for item, *values in _checked(text, hits, listed):
+                    for item, *values in _checked(text, hits, block):
                         out.append((lo + i, item, *values))
             ids = batch.column(0).take(pa.array([r[0] for r in out], pa.int64()))
             rest = list(zip(*(r[1:] for r in out), strict=True)) if out else [()] * 7
@@ -254,8 +343,12 @@ def _searcher(queries, model, cosine: float):
     return search
 
 
-def _candidates(h, bounds, column, weighted, latent, cosine):
-    """(row, [(first word of the window, passage, cosine)]) of rows with candidates."""
+def _candidates(h, bounds, block: _Passages, cosine):
+    """(row, [(first word of the window, passage, cosine)]) of rows with candidates.
+
+    Candidates are windows whose cosine with a passage is high enough; of these the ones are left
+    out around which too few of the item's words occur for any subsequence to do.
+    """
     n = np.diff(bounds)
     per = -(-n // STRIDE)
     if per.sum() == 0:
@@ -264,39 +357,52 @@ def _candidates(h, bounds, column, weighted, latent, cosine):
     first = np.concatenate([[0], np.cumsum(per)])
     nth = np.arange(len(row)) - first[:-1][row]
     start = bounds[:-1][row] + nth * STRIDE
-    bucket = buckets_of(h)
-    sums = np.add.reduceat(weighted[column[bucket]], start, axis=0)
+    kind = block.column[buckets_of(h)]
+    # sums of STRIDE words each: the first used word of each, then the second, and so on
+    used = np.flatnonzero(kind != block.none)
+    of = np.searchsorted(start, used, "right") - 1
+    place = np.arange(len(used)) - np.searchsorted(of, of)
+    sums = np.zeros((len(row), block.weighted.shape[1]), np.float32)
+    for k in range(int(place.max(initial=-1)) + 1):
+        some = np.flatnonzero(place == k)
+        sums[of[some]] += block.weighted[kind[used[some]]]
     last = nth == per[row] - 1
-    two = sums.copy()
     inner = np.flatnonzero(~last)
+    two = sums.copy()
     two[inner] += sums[inner + 1]
     use = ~last | (per[row] == 1)
     length = np.sqrt(np.einsum("ij,ij->i", two, two))
     at = np.flatnonzero(use & (length > 1e-6))
+    two = two[at] / length[at, None]
+    mixed = block.word_mix[kind]
+    before = np.concatenate([[0], np.cumsum(kind != block.none)])
+    step = max(64, DENSE // max(1, len(block.listed)))
     hits: dict[int, list[tuple[int, int, float]]] = {}
-    for a in range(0, len(at), 4096):
-        some = at[a : a + 4096]
-        value = (two[some] @ latent) / length[some, None]
-        for i, j in zip(*np.nonzero(value >= cosine), strict=True):
-            w = some[i]
-            hits.setdefault(int(row[w]), []).append((int(nth[w]) * STRIDE, int(j), float(value[i, j])))
+    for lo in range(0, len(at), step):
+        value = two[lo : lo + step] @ block.latent
+        flat = np.flatnonzero(value.ravel() >= cosine)
+        i, j = flat // value.shape[1], flat % value.shape[1]
+        w = at[lo + i]
+        a, b = np.maximum(bounds[:-1][row[w]], start[w] - block.length[j]), np.minimum(bounds[1:][row[w]], start[w] + WINDOW + block.length[j])
+        some = np.flatnonzero(before[b] - before[a] >= block.need[j])
+        some = some[block.enough(kind, mixed, j[some], a[some], b[some])]
+        for x, y, v in zip(w[some].tolist(), j[some].tolist(), value.ravel()[flat[some]].tolist(), strict=True):
+            hits.setdefault(int(row[x]), []).append((int(nth[x]) * STRIDE, y, v))
     yield from hits.items()
 
 
-def _checked(text: np.ndarray, hits, listed):
+def _checked(text: np.ndarray, hits, block: _Passages):
     """(item, cosine, lcs, passage, answer, start, stop) of the items that are there, best window each."""
     best: dict = {}
     for at, passage, value in hits:
-        item, s, e, w, answer = listed[passage]
-        a, b = max(0, at - len(w)), min(len(text), at + WINDOW + len(w))
-        around = text[a:b].tolist()
-        there = set(around)
-        # no subsequence is longer than the words that occur at all
-        if sum(x in there for x in w) < PARAPHRASED * len(w) and (e - s < WINDOW or sum(x in there for x in w[s:e]) < PASSAGE * (e - s)):
+        item, s, e, w, answer = block.listed[passage]
+        whole, piece, end = block.marks[passage]
+        around = [x for x in text[max(0, at - len(w)) : at + WINDOW + len(w)].tolist() if x in whole]
+        share = _lcs(whole, len(w), around) / len(w)
+        if share < PARAPHRASED and (e - s < WINDOW or share * len(w) < PASSAGE * (e - s)):
             continue
-        share = lcs(w, around) / len(w)
-        part = lcs(w[s:e], around) / (e - s)
-        last = lcs(w[answer:], around) / max(1, len(w) - answer)
+        part = _lcs(piece, e - s, around) / (e - s)
+        last = _lcs(end, len(w) - answer, around) / max(1, len(w) - answer)
         if not (share >= COPIED or (e - s >= WINDOW and part >= PASSAGE) or (share >= PARAPHRASED and last >= ANSWER)):
             continue
         new = (value, share, part, last, at, min(len(text), at + WINDOW))
