@@ -12,8 +12,9 @@ The fingerprint keeps the KEEP smallest 32-bit hashes of the distinct names from
 common hashes among the smallest of their union, an estimate of the resemblance of name sets.
 
 Defined cases: null counts as empty, which has the empty fingerprint; two empty ones have
-likeness 1, an empty and another one 0; rows with one id are ordered by text; null ids come
-first; one row alone is its own next; an empty table gives no rows.
+likeness 1, an empty and another one 0; rows with one id are ordered by a hash of their text (and
+by the text); null ids come first; one row alone is its own next; texts are read whole; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import mix64, string_buffers
+from tagloom.llm.common import mix64, stored, string_buffers
 
 KEEP = 64
 LEVEL = 2
@@ -33,6 +34,10 @@ LEVEL = 2
 BYTES = 1 << 19
 #: Range pieces the documents are dealt into hold about so many bytes of text.
 PIECE_BYTES = 8 << 20
+#: There are at most so many pieces; larger ones are sorted with spilling and read as a stream.
+MAX_PIECES = 20_000
+#: Keys sampled for the edges, a piece.
+SAMPLE = 32
 
 _U = np.uint64
 _SYMBOLS = mix64(np.arange(1, 257, dtype=_U))
@@ -172,35 +177,74 @@ def _cut(raw: bytes, n: int) -> int:
     return len(raw.decode("utf-8", "replace")[:n].encode()) if n else 0
 
 
+def _rank(rows, edges) -> np.ndarray:
+    """For each row the number of edges that don't lie behind it; both are (known, id, tie), edges in order."""
+    n = len(edges[0])
+    known, ids, tie = (np.concatenate([e, r]) for e, r in zip(edges, rows, strict=True))
+    is_row = np.arange(len(known)) >= n
+    order = np.lexsort((is_row, tie, ids, known))
+    out = np.empty(len(known), np.int64)
+    out[order] = np.cumsum(~is_row[order])
+    return out[n:]
+
+
+def _keys(ids, tie) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known, id, tie) of Arrow columns; null ids are not known and come first."""
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    return known, ids.fill_null(0).to_numpy(zero_copy_only=False), tie.to_numpy(zero_copy_only=False)
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = PIECE_BYTES) -> tuple[DataFrame, str]:
     """Rows (piece, place, id, text), dealt into range pieces of ids, each with what follows it.
 
-    place 0 are the piece's own rows; 1 are rows of the id that begins the next piece (after the
-    last piece: the first id of all), of which the first one follows the piece's last row.
+    place 0 are the piece's own rows; 1 are the rows that begin the next piece that has any (after
+    the last piece: the first one), of which the first follows the piece's last row.
+
+    Edges between pieces are taken from a sample of the keys (id, hash of the text), so one id with
+    many texts is split too.  They needn't be exact: what follows a piece is the smallest key that
+    really fell into the next one.  The driver gets SAMPLE keys and one first key a piece.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size, lowest, nulls = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.min("id"), F.count(F.when(F.col("id").isNull(), 1))).first()
-    pieces = max(1, min(100_000, -(-int(size) // piece_bytes)))
-    cuts = rows.approxQuantile("id", [i / pieces for i in range(1, pieces)], min(0.01, 0.2 / pieces)) if pieces > 1 and lowest is not None else []
-    edges = sorted({int(c) for c in cuts if c is not None and c > lowest})  # ids that are there
-    array = F.array(*[F.lit(e).cast("long") for e in edges]) if edges else F.array().cast("array<bigint>")
-    rank = F.array_size(F.filter(array, lambda e: e <= F.col("id").cast("long"))) if len(edges) < 64 else _rank(edges)
-    piece = F.when(F.col("id").isNull(), 0).otherwise(rank).cast("int")
-    begins = F.col("id").cast("long").isin(edges) if edges else F.lit(False)
-    first = F.col("id").isNull() if nulls else F.col("id") == F.lit(lowest)
-    own = F.struct(piece.alias("piece"), F.lit(0).alias("place"))
-    more = F.array_compact(F.array(own, F.when(begins, F.struct((piece - 1).alias("piece"), F.lit(1).alias("place"))), F.when(F.coalesce(first, F.lit(False)), F.struct(F.lit(len(edges)).alias("piece"), F.lit(1).alias("place")))))
-    dealt = rows.withColumn("at", F.explode(more)).select("at.piece", "at.place", "id", "text")
-    return dealt.repartition(max(1, len(edges) + 1), "piece").sortWithinPartitions("piece", "place", F.col("id").asc_nulls_first(), "text"), kind
-
-
-def _rank(edges: list[int]):
-    @F.pandas_udf("int")
-    def rank(ids):
-        return ids.map(lambda i: 0 if i != i else int(np.searchsorted(edges, i, "right"))).astype("int32")
-
-    return rank(F.col("id").cast("long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    keys = stored(rows.select("id", "tie", F.octet_length("text").alias("n")))
+    size, count = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    pieces = max(1, min(MAX_PIECES, -(-int(size) // piece_bytes)))
+    edges = tuple(np.zeros(0, t) for t in (bool, np.int64, np.int64))
+    if pieces > 1:
+        share = min(1.0, pieces * SAMPLE / count)
+        drawn = F.pmod(F.xxhash64(F.lit(5), "id", "tie"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+        found = keys.filter(drawn).select("id", "tie").distinct().toArrow().combine_chunks()
+        some = _keys(*(found.column(c).combine_chunks() for c in ("id", "tie")))
+        order = np.lexsort((some[2], some[1], some[0]))
+        at = order[np.unique(np.arange(1, pieces) * len(order) // pieces)] if len(order) else order
+        edges = tuple(x[at] for x in some)
+
+    @F.arrow_udf("int")
+    def piece_of(ids: pa.Array, tie: pa.Array) -> pa.Array:
+        return pa.array(_rank(_keys(ids, tie), edges), pa.int32())
+
+    first = keys.groupBy(piece_of("id", "tie").alias("piece")).agg(F.min(F.struct("id", "tie")).alias("key")).select("piece", "key.id", "key.tie").toArrow().combine_chunks()
+    order = np.argsort(first.column("piece").to_numpy())
+    there = first.column("piece").to_numpy()[order]
+    heads = tuple(np.zeros(len(edges[0]) + 1, t) for t in (bool, np.int64, np.int64))
+    for head, x in zip(heads, _keys(*(first.column(c).combine_chunks() for c in ("id", "tie"))), strict=True):
+        head[there] = x[order]
+    before = np.zeros(len(edges[0]) + 1, np.int32)
+    before[there] = np.roll(there, 1)
+
+    @F.arrow_udf("struct<piece:int,also:int>")
+    def places(ids: pa.Array, tie: pa.Array) -> pa.Array:
+        own = _keys(ids, tie)
+        piece = _rank(own, edges)
+        begins = np.logical_and.reduce([x == head[piece] for x, head in zip(own, heads, strict=True)])
+        return pa.StructArray.from_arrays([pa.array(piece, pa.int32()), pa.array(before[piece], pa.int32(), mask=~begins)], ["piece", "also"])
+
+    placed = rows.withColumn("at", places("id", "tie"))
+    own = F.struct(F.col("at.piece").alias("piece"), F.lit(0).alias("place"))
+    more = F.array_compact(F.array(own, F.when(F.col("at.also").isNotNull(), F.struct(F.col("at.also").alias("piece"), F.lit(1).alias("place")))))
+    dealt = placed.withColumn("at", F.explode(more)).select("at.piece", "at.place", "id", "tie", "text")
+    dealt = dealt.repartitionById(len(edges[0]) + 1, "piece").sortWithinPartitions("piece", "place", F.col("id").asc_nulls_first(), "tie", "text")
+    return dealt.select("piece", "place", F.col("id").cast(kind).alias("id"), "text"), kind
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -239,23 +283,26 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def work(batches):
-        ids, raws, held, piece, ended = [], [], 0, None, False
+        ids, raws, held, piece = [], [], 0, None
         for batch in batches:
             id_column = batch.column(2)
             for j, (p, place, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True)):
                 if place == 1:
-                    if not ended and raws:
+                    if raws:
                         yield stretch(pa.array(ids, id_column.type), raws, text.as_buffer().to_pybytes())
-                        ids, raws, held, ended = [], [], 0, True
+                        ids, raws, held = [], [], 0
                     continue
                 raw = text.as_buffer().to_pybytes()
-                if p != piece:
-                    piece, ended = p, False
+                if p != piece and raws:
+                    raise RuntimeError(f"nothing follows the last row of piece {piece}")
+                piece = p
                 if held > BYTES:
                     yield stretch(pa.array(ids, id_column.type), raws, raw)
                     ids, raws, held = [], [], 0
                 ids.append(id_column[j].as_py())
                 raws.append(raw)
                 held += len(raw)
+        if raws:
+            raise RuntimeError(f"nothing follows the last row of piece {piece}")
 
     return dealt.mapInArrow(work, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
