@@ -4,9 +4,11 @@ Toxic documents go; one document of each near-duplicate class stays, the one wit
 id; documents that hold a benchmark text go; secrets are replaced in their texts; and the rest
 is mixed to source targets, one row a document with the number of its copies.
 
-Defined cases: rows with a null id pass the two stages that compare ids; rows that repeat id and
-text are one document from the second stage on; null texts pass all filters and are never
-copied, as they have no words; an empty table gives no rows.
+Defined cases: the stages tell documents apart by their texts, so rows with a null id, or one id
+with several texts, are treated like others; rows that repeat a text are one document from the
+second stage on; null texts pass all filters and take no words; long texts are read whole; ties
+within a class go to the smallest id; other columns, whatever their names, are carried through;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import read_table, shared_folder
+from tagloom.llm.common import read_table, remove_folder, shared_folder
 from tagloom.llm.decontam import find_leaks
-from tagloom.llm.minhash import near_duplicates
-from tagloom.llm.mixing import mix, word_count
+from tagloom.llm.minhash import first_of_classes, text_node
+from tagloom.llm.mixing import mix
 from tagloom.llm.secrets import redact_secrets
 from tagloom.llm.toxicity import THRESHOLD, score_toxicity, train_toxicity
 
@@ -25,23 +27,19 @@ from tagloom.llm.toxicity import THRESHOLD, score_toxicity, train_toxicity
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of a model trained on all labelled rows."""
     model = train_toxicity(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
-    names = docs.columns
-    scored = score_toxicity(docs, model, names)
-    return scored.toDF(*names, "__score").filter(F.col("__score") < THRESHOLD).select(*names)
+    return score_toxicity(docs, model, docs.columns, score_col="__score").filter(F.col("__score") < THRESHOLD).drop("__score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class."""
-    classes = near_duplicates(docs)
-    stay = classes.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    return first_of_classes(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark text is found."""
-    leaks = find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents in which no benchmark text is found, told apart by their texts."""
+    named = docs.withColumn("__node", text_node(F.col("text")))
+    leaks = find_leaks(named.select("__node", "text"), read_table(spark, sf_dir, "benchmark"), id_col="__node")
+    return named.join(leaks.select("__node").distinct(), "__node", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +48,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with copies, size and words taken."""
-    mixed = mix(docs).filter("copies > 0").select("doc_id", "source", "size", "target", "copies", "taken").distinct()
-    sized = docs.withColumn("__size", word_count(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(mixed["doc_id"]) & sized["source"].eqNullSafe(mixed["source"]) & (sized["__size"] == mixed["size"])
-    return sized.join(mixed, same).select(*[sized[c] for c in docs.columns], mixed["size"], mixed["target"], mixed["copies"], mixed["taken"])
+    """Documents that the mix takes, and columns size, target, copies and taken (`mix_` before a name that is taken)."""
+    mixed = mix(docs, keep=docs.columns).filter("copies > 0")
+    new = [F.col(c).alias(c if c not in docs.columns else f"mix_{c}") for c in ("size", "target", "copies", "taken")]
+    return mixed.select(*[F.col(f"kept.`{c}`").alias(c) for c in docs.columns], *new)
 
 
 STAGES = [
@@ -71,9 +68,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove_folder(spark, last)
+        last = path
     return docs

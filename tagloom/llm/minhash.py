@@ -16,10 +16,13 @@ every other member of that bucket: pairwise in small buckets, block against bloc
 Each link is checked on the full weighted sets, so no link comes from chance, and one is lost only
 if no band agrees (3 in a million at similarity 0.8).  Components of links are classes.
 
+Inside, a text is named by a 64-bit hash, not by an id; ids only name classes at the end.
+
 Defined cases: null texts are classes of their own; equal texts, empty ones included, are one
-class; texts without words have no other link; the class id is the smallest id in the class; rows
-that repeat id and text give repeated results; other columns are ignored; an empty table gives
-no rows.
+class; texts without words have no other link; the class id is the smallest id in the class, null
+if all its ids are; texts of one id are told apart; rows that repeat id and text give repeated
+results; ties of ids are broken by the text's hash; long texts are compared whole; other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import VALUES_LOWER, mix64, span_hashes, stored, text_slices, words
+from tagloom.llm.common import VALUES_LOWER, forget, mix64, span_hashes, split_join, stored, text_slices, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -130,8 +133,13 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def text_node(text) -> F.Column:
+    """The number of a text: equal for equal texts, null for null."""
+    return F.when(text.isNotNull(), F.xxhash64(text))
+
+
 def _sketches(rows: DataFrame) -> DataFrame:
-    """id, digest, weight, bands (empty for texts without words) of rows (id, digest, text)."""
+    """id, node, weight, bands (empty for texts without words) of rows (id, node, text)."""
 
     def sketch(batches):
         for batch in batches:
@@ -142,9 +150,9 @@ def _sketches(rows: DataFrame) -> DataFrame:
                 keys.append(band_keys(signatures(c, bounds)))
             weight, key = np.concatenate(weights), np.concatenate(keys)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(weight > 0, BANDS, 0))]).astype(np.int32)), pa.array(key[weight > 0].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight), lists], names=["id", "digest", "weight", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight), lists], names=["id", "node", "weight", "bands"])
 
-    return rows.mapInArrow(sketch, "id long, digest string, weight long, bands array<bigint>")
+    return rows.mapInArrow(sketch, "id long, node long, weight long, bands array<bigint>")
 
 
 def _full_sets(rows: DataFrame) -> DataFrame:
@@ -204,28 +212,53 @@ def components(links: DataFrame) -> DataFrame:
         large = stored(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.filter("u <> v").distinct())
+        old, edges = edges, stored(small.filter("u <> v").distinct())
+        forget(old, large)
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row a row of `docs`: id, copy_of (smallest id with the same text), class_id (smallest id of the class)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.md5("text"))
-    some = rows.filter(F.col("text").isNotNull())
-    sketches = stored(_sketches(some.select("id", "digest", "text")))
-    classes = stored(sketches.groupBy("digest").agg(F.min("id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
-    buckets = stored(_buckets(classes))
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(classes, rows) of the texts that aren't null.
+
+    classes: one row a distinct text: node, copy_of (smallest id with the text), n (rows with it),
+    links (texts it was found alike with), class_id (smallest id of the class), first (whether it
+    stands for its class: the text of the smallest id).  rows: id and node of each row.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull()).withColumn("node", text_node(F.col("text")))
+    sketches = stored(_sketches(rows.select("id", "node", "text")))
+    texts = stored(sketches.groupBy("node").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
+    buckets = stored(_buckets(texts.select(F.col("node").alias("rep"), "weight", "bands")))
     hubs = buckets.filter("rep <> hub").filter(_fits("weight", "hub_weight", least)).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    sets = _candidate_sets(some, buckets)
+    sets = _candidate_sets(rows, texts, buckets)
     links = stored(_verified(hubs, sets, least))
     links = stored(links.union(_open_links(buckets, components(links), sets, least)))
-    found = stored(components(links))
-    named = classes.select("digest", "rep").join(found, F.col("rep") == F.col("id"), "left").select("digest", "rep", F.coalesce("component", "rep").alias("class_id"))
-    texts = sketches.select("id", "digest").join(named, "digest").select(F.col("id").alias(id_col), F.col("rep").alias("copy_of"), "class_id")
-    nulls = rows.filter(F.col("text").isNull()).select(F.col("id").alias(id_col), F.col("id").alias("copy_of"), F.col("id").alias("class_id"))
+    found = components(links).withColumnRenamed("id", "node")
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    named = texts.select("node", "copy_of", "n").join(found, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = stored(named.withColumn("links", F.coalesce("links", F.lit(0))))
+    # one row a class; ids that are null come last
+    top = named.groupBy("component").agg(F.min(F.struct(F.col("copy_of").isNull(), "copy_of", "node")).alias("top")).select("component", F.col("top.copy_of").alias("class_id"), F.col("top.node").alias("top"))
+    return named.join(top, "component").select("node", "copy_of", "n", "links", "class_id", (F.col("node") == F.col("top")).alias("first")), sketches.select("id", "node")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row a row of `docs`: id, class_id (smallest id of the class), copy_of (smallest id with the same text), links (other texts it was found alike with)."""
+    classes, rows = text_classes(docs, id_col, text_col, least)
+    texts = split_join(rows, stored(classes), "node", "id").select(F.col("id").alias(id_col), "class_id", "copy_of", "links")
+    nulls = docs.filter(F.col(text_col).isNull()).select(F.col(id_col).cast("long").alias(id_col)).select(id_col, F.col(id_col).alias("class_id"), F.col(id_col).alias("copy_of"), F.lit(0).cast("long").alias("links"))
     return texts.unionByName(nulls)
 
 
+def first_of_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each class one row, that of its smallest id; rows with null texts stay."""
+    classes, _ = text_classes(docs, id_col, text_col, least)
+    stay = classes.filter("first").select(F.col("node").alias("__stay"), F.col("copy_of").alias("__low"))
+    named = docs.withColumn("__node", text_node(F.col(text_col).cast("string")))
+    same = (F.col("__node") == F.col("__stay")) & F.col(id_col).cast("long").eqNullSafe(F.col("__low"))
+    kept = named.join(stay, same, "left_semi").dropDuplicates([id_col, "__node"]).drop("__node")
+    return kept.union(docs.filter(F.col(text_col).isNull()))
+
+
 def _fits(x: str, y: str, least: float):
     """The similarity is at most the quotient of the weights."""
     return F.least(x, y) >= F.greatest(x, y) * least
@@ -238,18 +271,18 @@ def _buckets(classes: DataFrame) -> DataFrame:
     member = stored(member.join(size, "key"))
     company = member.groupBy("rep").agg(F.sum("m").alias("company"))
     ranked = member.join(company, "rep")
-    hub = ranked.groupBy("key").agg(F.max(F.struct("company", -F.col("rep"), "weight")).alias("top"))
-    hub = hub.select("key", (-F.col("top")["col2"]).alias("hub"), F.col("top.weight").alias("hub_weight"))
+    hub = ranked.groupBy("key").agg(F.max(F.struct("company", F.bitwise_not("rep").alias("other"), "weight")).alias("top"))
+    hub = hub.select("key", F.bitwise_not("top.other").alias("hub"), F.col("top.weight").alias("hub_weight"))
     return member.join(hub, "key")
 
 
-def _candidate_sets(some: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Full sets of the class representatives that share a bucket, written once."""
-    ids = stored(buckets.select(F.col("rep").alias("id")).distinct())
+def _candidate_sets(rows: DataFrame, texts: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Full sets of the texts that share a bucket, written once; read from the row of the smallest id."""
+    ids = stored(buckets.select("rep").distinct().join(texts.select(F.col("node").alias("rep"), "copy_of"), "rep"))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = some.select("id", "text").join(ids, "id", "left_semi")
-    return stored(_full_sets(texts).dropDuplicates(["id"]))
+    some = rows.join(ids, (F.col("node") == F.col("rep")) & F.col("id").eqNullSafe(F.col("copy_of")), "left_semi")
+    return stored(_full_sets(some.select(F.col("node").alias("id"), "text")).dropDuplicates(["id"]))
 
 
 def _open_links(buckets: DataFrame, found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -257,8 +290,8 @@ def _open_links(buckets: DataFrame, found: DataFrame, sets: DataFrame, least: fl
     labelled = buckets.select("key", "rep", "weight", "m").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = stored(labelled)
     parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", -F.col("component"))).alias("top")).filter("parts > 1")
-    top = top.select("key", (-F.col("top")["col2"]).alias("main"))
+    top = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", F.bitwise_not("component").alias("other"))).alias("top"), F.sum("n").alias("all")).filter("parts > 1")
+    top = top.select("key", F.bitwise_not("top.other").alias("main"), (F.col("all") - F.col("top.n")).alias("n_open"))
     mixed = stored(labelled.join(top, "key").withColumn("open", F.col("component") != F.col("main")))
     small = mixed.filter(F.col("m") <= SMALL_BUCKET)
     x, y = small.filter("open").alias("x"), small.alias("y")
@@ -270,17 +303,18 @@ def _open_links(buckets: DataFrame, found: DataFrame, sets: DataFrame, least: fl
 
 
 def _block_links(large: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Open members of large buckets against all members, BLOCK of them a group.
+    """Open members of large buckets against all members: a group is BLOCK members and BLOCK open ones.
 
-    Open members are copied to each block of their bucket; pairs are never written out, only
-    links are.
+    Members are copied to each block of open ones of their bucket and the other way round; pairs
+    are never written out, only links are.
     """
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    row = large.withColumn("blocks", blocks)
+    cut = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row = large.withColumn("rows", cut("m")).withColumn("columns", cut("n_open"))
     full = row.join(sets.select(F.col("id").alias("rep"), "cells"), "rep")
-    members = full.select("key", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int").alias("block"), "rep", "component", "cells")
+    members = full.select("key", F.pmod(F.xxhash64("rep", "key"), F.col("rows")).cast("int").alias("i"), each("columns").alias("j"), "rep", "component", "cells")
     again = full.filter("open").select(*[F.col(c).alias(c) for c in full.columns])  # own columns, as cogroup needs
-    opens = again.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "component", "cells")
+    opens = again.select("key", each("rows").alias("i"), F.pmod(F.xxhash64("key", "rep"), F.col("columns")).cast("int").alias("j"), "rep", "component", "cells")
 
     def compare(key, left, right):
         ours = [(r, c, np.frombuffer(x, np.uint32)) for r, c, x in zip(left["rep"].to_pylist(), left["component"].to_pylist(), left["cells"].to_pylist(), strict=True)]
@@ -303,9 +337,9 @@ def _block_links(large: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 b.append(ours[i][0])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.groupBy("key", "block").cogroup(opens.groupBy("key", "block")).applyInArrow(compare, "a long, b long")
+    return members.groupBy("key", "i", "j").cogroup(opens.groupBy("key", "i", "j")).applyInArrow(compare, "a long, b long")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """The query: the class of every document."""
-    return near_duplicates(docs).select("doc_id", "class_id", "copy_of")
+    return near_duplicates(docs).select("doc_id", "class_id", "copy_of", "links")

@@ -346,11 +346,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     return {"names": names, "weights": root @ w[:-1], "nearest": w[-1], "bias": bias, "slope": slope, "offset": offset}
 
 
-def score_toxicity(docs: DataFrame, model: dict | None, id_cols: list[str], text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """`id_cols` of each row and score."""
-    rows = docs.select(*id_cols, F.col(text_col).cast("string").alias("__text"))
+def score_toxicity(docs: DataFrame, model: dict | None, id_cols: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """`id_cols` of each row and, last, `score_col`."""
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(id_cols)], F.col(text_col).cast("string").alias("text"))
     if model is None:
-        return rows.drop("__text").withColumn("score", F.lit(0.0))
+        return rows.withColumn("text", F.lit(0.0)).toDF(*id_cols, score_col)
 
     def score(batches):
         known = Known(Landmarks(model["names"]))
@@ -362,8 +362,8 @@ def score_toxicity(docs: DataFrame, model: dict | None, id_cols: list[str], text
             p = 1 / (1 + np.exp(-np.clip(model["slope"] * np.concatenate(found) + model["offset"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], "score"])
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in id_cols)
-    return rows.mapInArrow(score, f"{kinds}, score double")
+    kinds = ", ".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(id_cols)))
+    return rows.mapInArrow(score, f"{kinds}, score double").toDF(*id_cols, score_col)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

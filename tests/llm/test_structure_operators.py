@@ -63,7 +63,7 @@ def test_longest_common_subsequence():
 def test_latent_space_spans_the_leading_directions(spark):
     rng = np.random.default_rng(3)
     bench = spark.createDataFrame([(i, sentence(rng, 24, 60)) for i in range(30)], "item_id long, text string").repartition(3)
-    passages = decontam.benchmark_passages(bench, "item_id", "text").cache()
+    passages = decontam.passages_of(decontam.benchmark_items(bench, "item_id", "text")).cache()
     idf = np.ones(1 << decontam.BITS)
     column, space = decontam.latent_space(passages, idf, 10)
     a = np.zeros((30, (column >= 0).sum()))
@@ -82,6 +82,59 @@ def test_every_planted_passage_of_the_tables(spark, table):
     assert whole <= found
 
 
+def plain_leaks(texts, items):
+    """Pairs that the rules accept around any window, found without candidates."""
+    found = set()
+
+    def hashes(t):
+        ((_, data, offsets),) = text_slices(pa.array([t]))
+        return decontam.word_hashes(data, offsets)[0].tolist()
+
+    for i, item in items.items():
+        w = hashes(item)
+        stops = [k + 1 for k, x in enumerate(item.split()[:-1]) if x[-1] in ".!?"]
+        answer = stops[-1] if stops else len(w) * 3 // 4
+        if len(w) < decontam.LEAST:
+            continue
+        for d, text in texts.items():
+            h = hashes(text)
+            for at in range(0, max(1, len(h) - decontam.STRIDE), decontam.STRIDE):
+                around = h[max(0, at - len(w)) : at + decontam.WINDOW + len(w)]
+                share = decontam.lcs(w, around) / len(w)
+                part = max((decontam.lcs(w[s:e], around) / (e - s) for s, e in decontam.windows_of(len(w)) if e - s >= decontam.WINDOW), default=0)
+                last = decontam.lcs(w[answer:], around) / max(1, len(w) - answer)
+                if share >= decontam.COPIED or part >= decontam.PASSAGE or share >= decontam.PARAPHRASED and last >= decontam.ANSWER:
+                    found.add((d, i))
+                    break
+    return found
+
+
+def test_leaks_against_brute_force(spark, docs):
+    rng = np.random.default_rng(9)
+    items = {i: sentence(rng, int(rng.integers(8, 60)), 400) + ". " + sentence(rng, 6, 400) + "." for i in range(25)}
+    texts = []
+    for k in range(60):
+        w = items[int(rng.integers(25))].split()
+        w = [f"x{rng.integers(300)}" if rng.random() < (k % 6) / 10 else x for x in w]
+        texts.append(" ".join([sentence(rng, int(rng.integers(1, 90)), 400), *w, sentence(rng, int(rng.integers(1, 90)), 400)]))
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = decontam.leaks_report(docs(*texts), bench).collect()
+    found, plain = {(r.doc_id, r.item_id) for r in rows}, plain_leaks(dict(enumerate(texts)), items)
+    assert found <= plain and len(found) >= 0.97 * len(plain) > 30
+    assert sorted(rows) == sorted(decontam.leaks_report(docs(*texts), bench).collect())
+
+
+def test_benchmark_of_odd_items(spark, docs):
+    rng = np.random.default_rng(4)
+    long = sentence(rng, 3000)
+    items = [(None, "one two three four five six seven eight"), (1, long), (1, long), (1, sentence(rng, 20)), (2, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [sentence(rng, 40) + " " + long + " " + sentence(rng, 40), "a b one two three four five six seven eight c", long[:300]]
+    df = docs(*texts)
+    rows = decontam.leaks_report(df.union(df.selectExpr("null", "text", "lang", "source", "n_chars")), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} >= {(0, 1), (1, None), (None, 1), (None, None)}
+
+
 # -- near-duplicates ----------------------------------------------------------------------------
 
 
@@ -127,6 +180,20 @@ def test_classes_equal_brute_force(spark, docs, seed, monkeypatch):
     assert len(rows) == len(texts)
 
 
+def test_ids_do_not_name_texts(spark):
+    """Null ids and one id with two texts; the links of a text are counted."""
+    rng = np.random.default_rng(3)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    near = a.split()
+    near[0] = "other"
+    df = spark.createDataFrame([(None, a), (None, a), (5, a), (5, b), (None, b), (6, " ".join(near)), (None, "alone here"), (-4, b)], "doc_id long, text string")
+    rows = sorted(minhash.dedup_report(df).collect(), key=str)
+    assert len(rows) == 8
+    assert {(r.doc_id, r.class_id, r.copy_of, r.links) for r in rows} == {(None, 5, 5, 1), (5, 5, 5, 1), (6, 5, 6, 1), (5, -4, -4, 0), (None, -4, -4, 0), (-4, -4, -4, 0), (None, None, None, 0)}
+    kept = minhash.first_of_classes(df).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(5, a), (0, "alone here"), (-4, b)])
+
+
 def test_repeated_rows_and_empty_tables(spark, docs):
     df = docs("a b c d e f", "a b c d e f")
     rows = minhash.dedup_report(df.union(df)).collect()
@@ -188,6 +255,19 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_a_large_group_of_equal_rows_is_split(spark):
+    """A third of all rows repeat one id and text; the source still meets its target."""
+    rows = [(7, "a b c d", "x")] * 300 + [(i, "one two three", "x") for i in range(100, 500)] + [(i, "w " * 50, "y") for i in range(600, 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    taken, want = collections.Counter(), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.taken
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 50 for s in want)
+    once = sorted((r.doc_id, r.taken) for r in got)
+    assert once == sorted((r.doc_id, r.taken) for r in mixing.mix(df.repartition(3)).collect())
+
+
 # -- chat ---------------------------------------------------------------------------------------
 
 
@@ -273,6 +353,75 @@ def test_pieces_agree_with_one_piece(spark, table):
         fingerprint.with_next.__defaults__ = old
 
 
+@pytest.mark.parametrize("piece_bytes", [4000, 1 << 30])
+def test_neighbours_of_any_ids(spark, piece_bytes, monkeypatch):
+    """Large, null and repeated ids lose no row, and each row's next is the one that follows."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(fingerprint.with_next, "__defaults__", ("doc_id", "text", piece_bytes))
+    rows = [((1 << 60) + 3 * i, sentence(rng, int(rng.integers(0, 60)))) for i in range(300)]
+    rows += [(-(1 << 63), "lowest"), (None, sentence(rng, 30)), ((1 << 63) - 1, "highest"), (None, None)]
+    rows += [((1 << 60) + 1, sentence(rng, 40)) for _ in range(100)]  # one id, many texts
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = fingerprint.fingerprint_report(df.repartition(5)).collect()
+    assert len(out) == len(rows)
+    plain = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).collect()
+    plain.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie))
+    want = set()
+    for r, after in zip(plain, plain[1:] + plain[:1], strict=True):
+        half = len(r.text) // 2
+        want.add((r.doc_id, len(r.text), hashlib.sha256((r.text[: len(r.text) - half] + after.text[:half]).encode()).hexdigest()))
+    assert {(r.doc_id, r.n_chars, r.edited_sha256) for r in out} == want
+    for r in out[:20]:
+        assert len(r.fingerprint) % 8 == 0
+
+
+def plain_sketch(text, keep=fingerprint.KEEP, level=fingerprint.LEVEL):
+    """The fingerprint symbol by symbol."""
+    full = (1 << 64) - 1
+
+    def mix(v):
+        return int(fingerprint.mix64(np.array([v & full], np.uint64))[0])
+
+    def coin(own, left):
+        bit = ((own ^ left) & -(own ^ left)).bit_length() - 1
+        return bit << 1 | own >> bit & 1
+
+    x, k, names = [int(fingerprint._SYMBOLS[c]) for c in text.encode()], 0, set()
+    while x:
+        single = len(x) == 1
+        k += 1
+        runs = [(v, len(list(g))) for v, g in itertools.groupby(x)]
+        x = [mix(v + n * 0x2545F4914F6CDD1D) if n > 1 else v for v, n in runs]
+        label = [coin(v, x[i - 1] if i else v ^ 1) for i, v in enumerate(x)]
+        for _ in range(2):
+            label = [coin(v, label[i - 1] if i else v ^ 1) for i, v in enumerate(label)]
+        begin = [i > 0 and label[i] > label[i - 1] and label[i] >= (label[i + 1] if i + 1 < len(label) else 0) for i in range(len(label))]
+        begin = [i == 0 or i > 1 and b and not begin[i - 1] for i, b in enumerate(begin)]
+        starts = [i for i, b in enumerate(begin) if b] + [len(x)]
+        y = [mix(sum(mix(x[i] + (i - a) * 0x9E3779B97F4A7C15) for i in range(a, b)) + b - a) for a, b in itertools.pairwise(starts)]
+        if k >= level:
+            names |= {mix(v + k) >> 32 for v in y}
+        elif len(y) == 1:
+            names |= {mix(v) >> 32 for v in y}
+        if single or len(y) == 1:
+            break
+        x = y
+    return sorted(names)[:keep]
+
+
+def test_fingerprints_equal_those_made_symbol_by_symbol(spark, docs):
+    rng = np.random.default_rng(8)
+    texts = ["", "a", "aa", "ab", "abc", "aaaaabbbbb", "é" * 9 + "x", *[sentence(rng, int(n), 40) for n in rng.integers(1, 300, 25)]]
+    rows = fingerprint.fingerprint_report(docs(*texts)).collect()
+    for r in rows:
+        own, after = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        a, b = plain_sketch(own), plain_sketch(after)
+        assert r.fingerprint == "".join(f"{v:08x}" for v in a)
+        either = sorted(set(a) | set(b))[: fingerprint.KEEP]
+        like = len(set(a) & set(b) & set(either)) / len(either) if a and b else float(len(a) == len(b))
+        assert abs(r.near_next - like) < 1e-12
+
+
 def test_interior_names_do_not_depend_on_offset():
     rng = np.random.default_rng(2)
     text = sentence(rng, 800)
@@ -285,6 +434,37 @@ def test_interior_names_do_not_depend_on_offset():
 # -- pipeline -----------------------------------------------------------------------------------
 
 
+def test_pipeline_rows_and_names(spark, table, tmp_path):
+    """Null ids, one id with two texts, repeated rows and columns of every clashing name."""
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(12)
+    leak = table("benchmark").first()["text"]
+    base = table("documents").limit(60)
+    texts = [sentence(rng, 30) for _ in range(4)]
+    held = [(None, texts[0], "en", "s", 3), (None, texts[0], "en", "s", 3), (None, texts[1], "en", "s", 3), (None, leak, "en", "s", 3)]
+    held += [(70_000, texts[2], "en", "s", 3), (70_000, leak, "en", "s", 3), (70_001, texts[3], "en", "s", 3), (70_001, texts[3], "fr", "s", 3), (70_002, None, None, None, None)]
+    names = ("size", "target", "copies", "taken", "score", "rate", "kept", "id", "node", "row", "draw", "source_size", "held_out", "c0", "rep")
+    docs = base.unionByName(spark.createDataFrame(held, base.schema)).selectExpr("*", *[f"{i} as {c}" for i, c in enumerate(names)])
+    now = docs
+    for name, stage in P.STAGES:
+        out = stage(spark, now, SF)
+        if name != P.STAGES[-1][0]:
+            assert out.columns == docs.columns
+        path = str(tmp_path / name)
+        out.write.parquet(path)
+        now = spark.read.parquet(path)
+        mine = now.filter("doc_id is null or doc_id >= 70000").collect()
+        kept = sorted((r.doc_id or 0, r.text or "") for r in mine)
+        if name == "near_dedup":
+            assert kept == sorted([(0, texts[0]), (0, texts[1]), (70_000, texts[2]), (70_001, texts[3]), (70_002, ""), *[k for k in kept if k[1] == leak]])
+        if name == "decontamination":
+            assert kept == sorted([(0, texts[0]), (0, texts[1]), (70_000, texts[2]), (70_001, texts[3]), (70_002, "")])
+    assert now.columns == [*docs.columns, "mix_size", "mix_target", "mix_copies", "mix_taken"]
+    assert now.filter("doc_id is null").count() <= 2 and now.filter("doc_id = 70000").count() <= 1
+    assert {tuple(r[c] for c in names) for r in now.collect()} == {tuple(range(len(names)))}
+
+
 def test_pipeline_stages(spark, table, tmp_path):
     import corpus_pipeline as P
 
