@@ -69,7 +69,9 @@ class Lexer:
             if not digits:
                 self.report("expected-numeric-entity", m.end())
                 return s[i : m.end()], m.end()
-            code = int(digits, 16 if m[1] is not None else 10)
+            # beyond the last code point one number is as good as another, and long ones are slow to read
+            digits = digits.lstrip("0") or "0"
+            code = int(digits, 16 if m[1] is not None else 10) if len(digits) < 10 else 0x110000
             if code in NUMERIC:
                 self.report("illegal-codepoint-for-numeric-entity", m.end())
                 text = NUMERIC[code]

@@ -34,6 +34,57 @@ class Reparse(Exception):
         self.encoding = encoding
 
 
+class OpenElements(list):
+    """The stack of open elements; it knows how many of a tag it holds, and which nodes.
+
+    A node is on it once at most.  Deep trees ask for elements that aren't open at every tag.
+    """
+
+    def __init__(self, builder: TreeBuilder):
+        super().__init__()
+        self.tag, self.tags, self.nodes = builder.tag, {}, set()
+
+    def _came(self, node: int):
+        tag = self.tag(node)
+        self.tags[tag] = self.tags.get(tag, 0) + 1
+        self.nodes.add(node)
+
+    def _went(self, node: int):
+        self.tags[self.tag(node)] -= 1
+        self.nodes.discard(node)
+
+    def __contains__(self, node) -> bool:
+        return node in self.nodes
+
+    def append(self, node: int):
+        self._came(node)
+        super().append(node)
+
+    def insert(self, at: int, node: int):
+        self._came(node)
+        super().insert(at, node)
+
+    def pop(self, at: int = -1) -> int:
+        node = super().pop(at)
+        self._went(node)
+        return node
+
+    def remove(self, node: int):
+        super().remove(node)
+        self._went(node)
+
+    def __setitem__(self, at: int, node: int):
+        self._went(self[at])
+        self._came(node)
+        super().__setitem__(at, node)
+
+    def __delitem__(self, at):
+        gone = self[at]
+        for node in gone if isinstance(at, slice) else (gone,):
+            self._went(node)
+        super().__delitem__(at)
+
+
 class TreeBuilder:
     def __init__(self, text: str, fragment: str | None = None, scripting: bool = False, meta=None, debug: bool = False):
         """fragment: name of the context element; meta(label): called for encodings in `<meta>`."""
@@ -42,7 +93,7 @@ class TreeBuilder:
         self.kind, self.ns, self.name, self.attrs = ["document"], [None], [None], [None]
         self.value, self.parent, self.children = [None], [None], [[]]
         self.public, self.system = {}, {}
-        self.open: list[int] = []
+        self.open = OpenElements(self)
         self.formatting: list[int] = []
         self.head = self.form = None
         self.mode, self.original = "initial", "initial"
@@ -150,6 +201,8 @@ class TreeBuilder:
     def in_scope(self, target, kind: str = "") -> bool:
         """target: the name of an HTML element, or a node."""
         name = (HTML, target) if isinstance(target, str) else None
+        if target not in self.open if name is None else not self.open.tags.get(name):
+            return False
         for node in reversed(self.open):
             own = self.tag(node)
             if node == target if name is None else own == name:
@@ -833,57 +886,80 @@ class TreeBuilder:
 
     def _adopt(self, t: Token):
         """The adoption agency: puts misnested formatting elements in order."""
-        f, o = self.formatting, self.open
         for _ in range(8):
-            mine = self.formatting_named(t.name)
-            if mine is None or mine in o and not self.in_scope(self.name[mine]):
-                self._any_end(t)
-                return
-            if mine not in o:
-                self.error("adoption-agency-1.2", name=t.name)
-                f.remove(mine)
-                return
-            if mine != o[-1]:
-                self.error("adoption-agency-1.3", name=t.name)
-            at = o.index(mine)
-            block = next((n for n in o[at:] if self.tag(n) in T.SPECIAL), None)
-            if block is None:
-                del o[at:]
-                f.remove(mine)
+            if not self._adopt_once(t):
                 return
-            ancestor, mark = o[at - 1], f.index(mine)
-            last, i = block, o.index(block)
-            for _ in range(3):
-                i -= 1
-                node = o[i]
-                if node not in f:
-                    del o[i]
-                    continue
-                if node == mine:
-                    break
-                if last == block:
-                    mark = f.index(node) + 1
-                copy = self.new("element", self.ns[node], self.name[node], dict(self.attrs[node]))
-                f[f.index(node)] = copy
-                o[i] = copy
-                self.detach(last)
-                self.append(copy, last)
-                last = copy
-            self.detach(last)
-            if self.name[ancestor] in _TABLE_PARTS:
-                parent, before = self._foster()
-                self.append(parent, last, before)
-            else:
-                self.append(ancestor, last)
-            copy = self.new("element", self.ns[mine], self.name[mine], dict(self.attrs[mine]))
-            for child in self.children[block]:
-                self.parent[child] = copy
-            self.children[copy], self.children[block] = self.children[block], []
-            self.append(block, copy)
-            f.remove(mine)
-            f.insert(mark, copy)
-            o.remove(mine)
-            o.insert(o.index(block) + 1, copy)
+
+    def _adopt_once(self, t: Token) -> bool:
+        """One round of it; whether another may follow."""
+        owner = self.formatting_named(t.name)
+        is_open = owner is not None and owner in self.open
+        if owner is None or is_open and not self.in_scope(self.name[owner]):
+            self._any_end(t)
+            return False
+        if not is_open:
+            self.error("adoption-agency-1.2", name=t.name)
+            self.formatting.remove(owner)
+            return False
+        if owner != self.open[-1]:
+            self.error("adoption-agency-1.3", name=t.name)
+        depth = self.open.index(owner)
+        furthest = next((i for i in range(depth, len(self.open)) if self.tag(self.open[i]) in T.SPECIAL), None)
+        if furthest is None:
+            del self.open[depth:]
+            self.formatting.remove(owner)
+            return False
+        block, above = self.open[furthest], self.open[depth - 1]
+        subtree, bookmark = self._copy_chain(owner, furthest)
+        self._move_under(above, subtree)
+        heir = self._copy(owner)
+        self._give_children(block, heir)
+        self.append(block, heir)
+        if bookmark is None:
+            bookmark = self.formatting.index(owner)
+        self.formatting.remove(owner)
+        self.formatting.insert(bookmark, heir)
+        self.open.remove(owner)
+        self.open.insert(self.open.index(block) + 1, heir)
+        return True
+
+    def _copy_chain(self, owner: int, furthest: int) -> tuple[int, int | None]:
+        """Copies the formatting elements right above the block, three steps at most, each around what is below it.
+
+        Elements that don't format leave the stack.  Returns the root of what was built and the place
+        in the list of formatting elements after the innermost copy, if there is one.
+        """
+        below, bookmark = self.open[furthest], None
+        for at in range(furthest - 1, furthest - 4, -1):
+            node = self.open[at]
+            if node == owner:
+                break
+            if node not in self.formatting:
+                del self.open[at]
+                continue
+            place = self.formatting.index(node)
+            if bookmark is None:
+                bookmark = place + 1
+            self.formatting[place] = self.open[at] = outer = self._copy(node)
+            self.detach(below)
+            self.append(outer, below)
+            below = outer
+        return below, bookmark
+
+    def _move_under(self, parent: int, node: int):
+        self.detach(node)
+        before = None
+        if self.name[parent] in _TABLE_PARTS:
+            parent, before = self._foster()
+        self.append(parent, node, before)
+
+    def _copy(self, node: int) -> int:
+        return self.new("element", self.ns[node], self.name[node], dict(self.attrs[node]))
+
+    def _give_children(self, giver: int, taker: int):
+        for child in self.children[giver]:
+            self.parent[child] = taker
+        self.children[taker], self.children[giver] = self.children[giver], []
 
     def text_mode(self, t: Token) -> bool:
         if t.kind in (CHARS, SPACE):

@@ -39,8 +39,8 @@ _SURROGATE = re.compile("[\ud800-\udfff]")
 _NEWLINE = re.compile("\r\n?")
 
 
-def parse_one(source: str | bytes, fragment=None, scripting=False, want=("nodes", "errors"), **hints) -> dict:
-    """The kernel on one document; `hints` are the arguments of `charsets.determine`."""
+def build(source: str | bytes, fragment=None, scripting=False, want=("nodes", "errors"), **hints) -> tuple:
+    """(finished tree builder, its text, encoding, confidence, invalid characters); `hints` are the arguments of `charsets.determine`."""
     encoding = confidence = None
     text = source
     if isinstance(source, bytes):
@@ -69,6 +69,12 @@ def parse_one(source: str | bytes, fragment=None, scripting=False, want=("nodes"
         except Reparse as again:
             encoding = again.encoding
             text = charsets.decode(source, encoding)
+    return builder, text, encoding, confidence, invalid
+
+
+def parse_one(source: str | bytes, fragment=None, scripting=False, want=("nodes", "errors"), **hints) -> dict:
+    """The kernel on one document."""
+    builder, text, encoding, confidence, invalid = build(source, fragment, scripting, want, **hints)
     out = {"encoding": encoding, "confidence": confidence, "compat_mode": builder.quirks, "nodes": None, "errors": None, "log": None}
     if "nodes" in want:
         names = ("kind", "parent_id", "enter_seq", "exit_seq", "depth", "child_idx", "ns", "name", "value", "public_id", "system_id", "attrs")
@@ -91,6 +97,14 @@ def parse_one(source: str | bytes, fragment=None, scripting=False, want=("nodes"
     return out
 
 
+def _kernel(fragment=None, scripting=False, want=("nodes", "errors"), **hints):
+    @F.arrow_udf(f"struct<{DOCUMENT.replace(' array', ':array').replace(' string', ':string')}>")
+    def kernel(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else parse_one(x, fragment, scripting, want, **hints) for x in column.to_pylist()], _DOC_TYPE)
+
+    return kernel
+
+
 def parse_html(html: Column | str, fragment: str | None = None, scripting: bool = False, want=("nodes", "errors"), **hints) -> Column:
     """Struct of a parsed document (null for null).  STRING columns are text, BINARY ones bytes with encoding discovery.
 
@@ -98,11 +112,7 @@ def parse_html(html: Column | str, fragment: str | None = None, scripting: bool
     literal encoding hints: override, transport, same_origin_parent, likely, default.
     """
 
-    @F.arrow_udf(f"struct<{DOCUMENT.replace(' array', ':array').replace(' string', ':string')}>")
-    def kernel(column: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else parse_one(x, fragment, scripting, want, **hints) for x in column.to_pylist()], _DOC_TYPE)
-
-    return kernel(F.col(html) if isinstance(html, str) else html)
+    return _kernel(fragment, scripting, want, **hints)(F.col(html) if isinstance(html, str) else html)
 
 
 def parse_fragment(html: Column | str, container: str = "div", **options) -> Column:
@@ -207,9 +217,5 @@ def register(spark) -> None:
                 for node in parse_one(html, want=("nodes",))["nodes"]:
                     yield tuple(node[n] for n in names)
 
-    @F.arrow_udf(f"struct<{DOCUMENT.replace(' array', ':array').replace(' string', ':string')}>")
-    def kernel(column: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else parse_one(x) for x in column.to_pylist()], _DOC_TYPE)
-
     spark.udtf.register("html_nodes", HtmlNodes)
-    spark.udf.register("parse_html", kernel)
+    spark.udf.register("parse_html", _kernel())

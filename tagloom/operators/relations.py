@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,30 @@ def flavour(tree: DataFrame, kind: str) -> DataFrame:
     if kind.lower() not in views:
         raise ValueError(f"unknown tree flavour: {kind}")
     return views[kind.lower()](tree)
+
+
+# -- the same within one document: columns over the `nodes` array of a parsed document, no join and no exchange
+#
+# The array is in document order, a node's id is its index, and each node takes two numbers of the
+# sequence; so a node's parent is one look-up and what is in it is one slice.
+
+
+def array_elements(nodes: Column, *names: str) -> Column:
+    """The elements of these names."""
+    return F.filter(nodes, lambda n: (n["kind"] == "element") & n["name"].isin(*names))
+
+
+def array_descendants(nodes: Column, node: Column) -> Column:
+    """The nodes in a node of the array."""
+    return F.slice(nodes, node["node_id"] + 2, F.shiftright(node["exit_seq"] - node["enter_seq"] - 1, 1))
+
+
+def array_parent(nodes: Column, node: Column) -> Column:
+    """The parent of a node of the array, null for the root."""
+    return F.get(nodes, node["parent_id"])
+
+
+def array_text(nodes: Column, node: Column) -> Column:
+    """The texts in a node, in document order; empty if it has none."""
+    texts = F.filter(array_descendants(nodes, node), lambda n: n["kind"] == "text")
+    return F.array_join(F.transform(texts, lambda n: n["value"]), "")

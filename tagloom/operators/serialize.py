@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions import tables as T
+from tagloom.functions import tables as T, writer
 from tagloom.operators import filters
-from tagloom.operators.parse import concatenate_text
-from tagloom.operators.sanitize import SafeLists, sanitize
+from tagloom.operators.parse import build, concatenate_text
+from tagloom.operators.sanitize import SafeLists, safe_css, sanitize
 
 # Characters that make quotes necessary, by the two readings of the rules.
 _SPEC = "[\\t\\n\\x0c \\r\"'=<>`]"
@@ -59,8 +60,9 @@ def _fallback(encoding: str):
     """Characters that the encoding lacks become references."""
 
     @F.pandas_udf("string")
-    def references(texts):
+    def references(texts, strictly):
         names = _reverse_entities()
+        "".join(strictly[strictly.notna()]).encode(encoding)  # names can't be written as references
 
         def one(text):
             if text is None or text.isascii():
@@ -156,10 +158,11 @@ def pieces(stream: DataFrame, o: Options = Options(), encoding: str | None = Non
         .when((kind == "Entity") & ~name.isin("lt", "gt", "amp", "apos", "quot", *known), F.concat(F.lit("Entity "), name, F.lit(" not recognized")))
         .when(kind == "SerializeError", data)
     )
-    out = seen.select("doc_id", "seq", "sub", kind.alias("type"), piece.alias("piece"), problem.alias("problem"))
+    strictly = F.when(kind.isin("StartTag", "EmptyTag"), F.concat(name, F.array_join(F.transform("attrs", lambda a: a["name"]), "")))
+    out = seen.select("doc_id", "seq", "sub", kind.alias("type"), piece.alias("piece"), problem.alias("problem"), strictly.alias("strictly"))
     if encoding:
         loose = F.col("type").isin("Characters", "SpaceCharacters", "StartTag", "EmptyTag")
-        out = out.withColumn("piece", F.when(loose, fallback("piece")).otherwise(F.col("piece")))
+        out = out.withColumn("piece", F.when(loose, fallback("piece", "strictly")).otherwise(F.col("piece")))
     return out.select("doc_id", "seq", "sub", "piece", "problem")
 
 
@@ -180,6 +183,41 @@ def serialize(stream: DataFrame, o: Options = Options(), encoding: str | None =
     return out
 
 
+def serialize_html(html: Column | str, o: Options = Options(), encoding: str | None = None, strict: bool = False, lists: SafeLists = SafeLists(), **parsing) -> Column:
+    """Struct (html, problems) of a page's markup: parsed, filtered and written in one kernel call.
+
+    The result is that of `serialize` over the page's tokens (and empty for a page without any); no row
+    is expanded, so no exchange is needed.  `parsing` are options of `parse_html`; with `strict` the first problem is an error.
+    """
+    kept, flow = frozenset(filters.SPACE_KEPT), frozenset(filters._FLOW)
+
+    def one(source, markup: writer.Markup):
+        tokens = writer.tokens_of(build(source, want=(), **parsing)[0].rows())
+        if encoding and o.inject_meta_charset:
+            tokens = writer.with_charset(tokens, encoding)
+        if o.alphabetical_attributes:
+            tokens = writer.in_alphabet(tokens)
+        if o.strip_whitespace:
+            tokens = writer.one_space(tokens, kept)
+        if o.sanitize:
+            tokens = writer.sanitized(tokens, lists, safe_css)
+        if o.omit_optional_tags:
+            tokens = writer.without_optional_tags(tokens, writer.start_tag_goes, lambda name, after: writer.end_tag_goes(name, after, flow))
+        text, problems = markup.write(tokens)
+        if strict and problems:
+            raise ValueError(problems[0])
+        return {"html": text.encode(encoding) if encoding else text, "problems": problems}
+
+    kind = pa.binary() if encoding else pa.string()
+
+    @F.arrow_udf(f"struct<html:{'binary' if encoding else 'string'},problems:array<string>>")
+    def kernel(column: pa.Array) -> pa.Array:
+        markup = writer.Markup(o, _SPEC if o.quote_attr_values == "spec" else _LEGACY, encoding, _reverse_entities() if encoding else None)
+        return pa.array([None if x is None else one(x, markup) for x in column.to_pylist()], pa.struct([("html", kind), ("problems", pa.list_(pa.string()))]))
+
+    return kernel(F.col(html) if isinstance(html, str) else html)
+
+
 def tree_dump(tree: DataFrame) -> DataFrame:
     """doc_id, dump: one line a node, indented by depth, attributes sorted, foreign names with a prefix."""
     prefixes = F.create_map(*[F.lit(x) for pair in T.PREFIXES.items() for x in pair])

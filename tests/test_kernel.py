@@ -163,3 +163,17 @@ def test_every_kind_of_decoder():
     assert charsets.decode(b"abc", "replacement") == "\ufffd"
     for name in charsets.LABELS:
         assert isinstance(charsets.decode(b"abc\x80", name), str)
+
+
+def test_hostile_pages_take_little_time():
+    import time
+
+    from tagloom.operators.parse import parse_one
+
+    pages = ("&#" + "9" * 5000 + ";x", "&#x" + "f" * 5000, "<div>" * 8000 + "<p>x" * 200, "<b>" * 4000 + "<p>x" * 300, "<table>" * 3000, "<a><div>" * 2000, "<p><i><b><u>" * 1000, "<!--" * 5000, "<" * 20000)
+    for page in pages:
+        began = time.perf_counter()
+        assert parse_one(page)["nodes"]
+        assert time.perf_counter() - began < 8, page[:20]
+    text = lambda page: "".join(n["value"] for n in parse_one(page)["nodes"] if n["kind"] == "text")
+    assert text("&#" + "0" * 5000 + "65;x") == "Ax" and text("&#" + "9" * 5000 + ";x") == "�x"

@@ -195,3 +195,86 @@ def test_flavours(spark):
     assert [r["value"] for r in safe if r["kind"] == "comment"] == ["a- -b"]
     with pytest.raises(ValueError):
         R.flavour(t, "other")
+
+
+#: Pages in which neighbours, raw texts, foreign parts, attributes and encodings matter.
+ODD_PAGES = (
+    "", " ", "<p> a <pre> b  c </pre> <textarea> d  e</textarea>", "<!--a--b--><!DOCTYPE html PUBLIC 'x' \"y'z\"><title>t</title>",
+    "<table><colgroup><col><tbody><tr><td>a<td>b<tr><th>c</table><table><thead><tr><td>x<tfoot><tr><td>y<tbody>z</table>",
+    "<dl><dt>a<dd>b<dt>c</dl><ruby>a<rt>b<rp>c</ruby><select><optgroup><option>a<option>b<optgroup></select>",
+    "<svg viewbox='0 0'><a xlink:href='javascript:x' fill='url(http://x)'><animate xlink:href=' #a'/><animate xlink:href='b'/></a></svg>",
+    "<math><mi definitionurl=x>é</mi></math><script>if (a<b) x='</scr'+'ipt>'</script><style>a > b</style>",
+    "<a href=\"data:image/png,x\" onclick=y style='color: red; x: y' title='a\"b'>1</a><a href='java&#10;script:a' title=\"it's\">2</a>",
+    "<meta charset=koi8-r><meta http-equiv=Content-Type content='text/html; charset=x'><p title='é☃'>é☃𝄞&nbsp;<input disabled checked=x>",
+    "<body><!--x--><script></script><p>a<div>b</div><p>c<br><hr>d<noscript><p>e</noscript><xmp><b></xmp>", "<frameset><frame></frameset>",
+    "<html> <head> <title>a  b</title> </head> <body> <ul> <li> a </li> <li> b </ul> </body> </html>", "<p a='' b=x/y c=\"`\" d='=' e=　>&lt;&amp;&gt;</p>",
+)
+MANY_OPTIONS = (
+    {}, {"omit_optional_tags": False}, {"strip_whitespace": True}, {"sanitize": True}, {"sanitize": True, "omit_optional_tags": False, "alphabetical_attributes": True},
+    {"quote_attr_values": "always", "quote_char": "'"}, {"quote_attr_values": "spec", "minimize_boolean_attributes": False, "use_trailing_solidus": True},
+    {"use_trailing_solidus": True, "space_before_trailing_solidus": False, "escape_lt_in_attrs": True, "escape_rcdata": True}, {"use_best_quote_char": True, "quote_char": "'"},
+)
+
+
+@pytest.mark.parametrize("encoding", [None, "ascii", "utf-8"])
+def test_kernel_markup_equals_that_of_the_stream(spark, encoding):
+    table = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").limit(12)
+    some = table.union(pages(spark, *ODD_PAGES).selectExpr("page_id + 1000", "html"))
+    stream = tokens(nodes(some, "page_id", "html")).cache()
+    for options in MANY_OPTIONS if encoding is None else MANY_OPTIONS[:4]:
+        o = S.Options(**options)
+        plain = {r["doc_id"]: (r["html"], sorted(r["problems"])) for r in S.serialize(stream, o, encoding).collect()}
+        rows = some.select("page_id", S.serialize_html("html", o, encoding).alias("out")).collect()
+        found = {r["page_id"]: (r["out"]["html"], sorted(r["out"]["problems"])) for r in rows}
+        assert plain.keys() | {k for k, v in found.items() if not v[0]} == found.keys()  # a page without tokens has no row in a stream
+        assert {k: found[k] for k in plain} == plain, options
+    stream.unpersist()
+
+
+def test_kernel_markup_of_nulls_fragments_and_strict_mode(spark):
+    rows = pages(spark, None, "<td>a").select(S.serialize_html("html", fragment="tr").alias("out")).collect()
+    assert rows[0]["out"] is None and rows[1]["out"]["html"] == "<td>a"
+    with pytest.raises(Exception, match="Comment contains"):
+        pages(spark, "<!--a--b-->").select(S.serialize_html("html", strict=True)).collect()
+
+
+def test_names_are_encoded_strictly(spark):
+    for html in ("<aé>", "<p é=1>"):
+        with pytest.raises(Exception, match="ascii"):
+            render(spark, html, "ascii")
+        with pytest.raises(Exception, match="ascii"):
+            pages(spark, html).select(S.serialize_html("html", encoding="ascii")).collect()
+    assert bytes(render(spark, "<p a=é>", "ascii")) == b"<p a=&eacute;>"
+
+
+def test_page_local_queries_run_the_kernel_once_and_move_nothing(spark):
+    from tagloom.queries import QUERIES
+
+    for name, query in QUERIES.items():
+        number = int(name[1:3]) if name[0] == "q" else 0
+        if number <= 18 and number not in (12, 13) or number in (22,):
+            plan = query(spark, SF)
+            assert (name, count_nodes(plan, "ArrowEvalPython"), count_nodes(plan, "Exchange")) == (name, 1, 0)
+
+
+def test_arrays_agree_with_relations(spark):
+    table = pages(spark, *ODD_PAGES)
+    doc = table.select("page_id", parse_html("html", want=("nodes",)).alias("doc"))
+    n = F.col("doc.nodes")
+    t = nodes(table, "page_id", "html")
+    texts = doc.select("page_id", F.inline(F.transform(R.array_elements(n, "p", "td", "body"), lambda x: F.struct(x["node_id"].alias("root_id"), R.array_text(n, x).alias("text")))))
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(texts) == key(R.text_content(t, R.elements(t, "p", "td", "body")))
+    inner = doc.select("page_id", F.inline(F.flatten(F.transform(R.array_elements(n, "table", "body"), lambda x: F.transform(R.array_descendants(n, x), lambda y: F.struct(x["node_id"].alias("root_id"), y["node_id"].alias("node_id")))))))
+    assert key(inner) == key(R.descendants(t, R.elements(t, "table", "body"), ()))
+    rows = doc.select("page_id", F.inline(F.transform(F.filter(R.array_elements(n, "td"), lambda x: R.array_parent(n, x)["name"] == "tr"), lambda x: F.struct(x["node_id"].alias("id")))))
+    assert key(rows) == key(R.children(t, "tr", "td").select("doc_id", "node_id"))
+
+
+def test_style_values_take_no_time():
+    import time
+
+    began = time.perf_counter()
+    for value in ("a" * 4000, "a-" * 2000, "'" + "a " * 2000, "a:" * 2000, "color: " + "1px " * 1000, "(" + "1," * 2000, "url(" * 1000, "-" * 4000 + ":", "a:b;" * 1000 + "'"):
+        safe_css(value)
+    assert time.perf_counter() - began < 5
