@@ -278,7 +278,7 @@ QUERIES = {f.__name__: f for k, f in sorted(globals().items()) if k[0] == "q" an
 # paragraph and in the footer, three at most, and one more right where a new one begins.
 
 _SPLIT = r"(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>|[^<]+"
-_DECODED = "replace(replace(replace(replace(replace(replace(t, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&')"
+_DECODED = "regexp_replace(replace(replace(replace(replace(replace(t, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&gt;', '>'), '&lt;', '<'), '&amp;?', '&', 'g')"
 _WALK = f"""
 raw AS (SELECT page_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '{_SPLIT}') AS ts FROM pages)),
 seen AS (SELECT *, CAST(coalesce(sum(CASE WHEN t = '<b>' THEN 1 END) OVER (PARTITION BY page_id ORDER BY i), 0) AS INT) AS n,
@@ -327,7 +327,7 @@ _MARKUP_SQL = {
     "sanitized": _markup(tag=f"CASE WHEN t LIKE '<!--%' THEN '' WHEN regexp_extract(t, '^</?[a-z]+') IN {_UNWANTED} THEN {_ESCAPED.format('t')} ELSE {_unquoted()} END", tail="&lt;/body&gt;&lt;/html&gt;"),
 }
 
-_UNESCAPE = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_UNESCAPE = "regexp_replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
 _WITHOUT_SCRIPT = "regexp_replace(html, '<script>.*?</script>', '<script></script>', 'gs')"
 SQL: dict[str, str] = {
     "q01_title_text": f"SELECT page_id, {_UNESCAPE.format("t")} AS title FROM (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS t FROM pages)",
@@ -349,7 +349,7 @@ SQL: dict[str, str] = {
     "q17_inject_meta": _MARKUP_SQL["inject_meta"],
     "q18_sanitized": _MARKUP_SQL["sanitized"],
     "q19_serialized_twice": _markup(),
-    "q20_errors_by_code": f"WITH {_WALK} SELECT code, count(*) AS n FROM (SELECT CASE WHEN t IN ('<p>', '</p>') THEN 'unexpected-end-tag' ELSE 'end-tag-too-early' END AS code FROM walk WHERE closed > 0) GROUP BY code",
+    "q20_errors_by_code": f"WITH {_WALK} SELECT code, count(*) AS n FROM (SELECT CASE WHEN t IN ('<p>', '</p>') THEN 'unexpected-end-tag' ELSE 'end-tag-too-early' END AS code FROM walk WHERE closed > 0 UNION ALL SELECT CASE WHEN regexp_matches(e, '^&(amp|quot|copy|middot)') THEN 'named-entity-without-semicolon' ELSE 'expected-named-entity' END FROM (SELECT unnest(regexp_extract_all(t, '&[a-zA-Z]+;?')) AS e FROM walk WHERE is_text) WHERE NOT regexp_matches(e, '^&(amp|quot|copy|middot);$')) GROUP BY code",
     "q21_decode": _values(("case_id", "encoding", "confidence", "text"), [(i, *b[1:]) for i, b in enumerate(BYTES)]),
     "q22_article_heading": "SELECT page_id, CAST(n AS BIGINT) AS n FROM (SELECT page_id, len(regexp_extract_all(html, '<h1[ >]')) AS n FROM pages) WHERE n > 0",
     "q23_tree_dumps": _values(("case_id", "dump"), [(i, t[1]) for i, t in enumerate(TREES)]),
