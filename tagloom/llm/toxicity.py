@@ -6,16 +6,20 @@ left out of it lower the value and don't end the match.  A unit is a word (outer
 removed, lower case, long ones in overlapping windows; with and without inner punctuation) or a
 run of single characters joined.
 
-Landmarks are words of labelled training sentences, the ones whose presence best tells toxic
-from clean ones and that are not near each other in the kernel.  A text's feature for a landmark
+A sign before each unit makes beginnings count for more.
+
+Landmarks are words of labelled training sentences and beginnings of them, the ones whose presence
+best tells toxic from clean ones and that are not near each other in the kernel (found by counts of
+presence: sentences themselves, as landmarks, drown an insult in ordinary words).  A text's feature for a landmark
 is the highest kernel value of its units; K(landmarks, landmarks) ** -1/2 maps features to the
 Nystroem space, in which a squared-hinge support vector machine and a logistic calibration are
 fitted.  The value at the nearest landmark is one feature more: one insult is enough, however
 little the rest of a text resembles any.  Every pair of a unit and a landmark has its exact value.
 
 Defined cases: null and empty texts have no unit and so the features 0; null labels don't train;
-with no toxic or no clean training row every score is 0; repeated rows get equal scores; texts
-are read whole.
+with no toxic or no clean training row every score is 0; repeated rows get equal scores; words of
+equal worth go by length and then in order; texts are read whole, long tokens in windows; other
+columns, whatever their names, don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from tagloom.llm.quality import training_sample
 
 ORDER = 3
 DECAY = 0.7
+#: Bits of a character's number, and the sign put before each unit, so that beginnings count for more.
+BITS, BEGIN = 6, "\x02"
 WINDOW, STRIDE = 24, 12
 LANDMARKS = 64
 #: A landmark is at most so near to those before it.
@@ -42,18 +48,23 @@ CANDIDATES = 600
 #: At most so many labelled rows train, the first by a hash of their id.
 MAX_TRAINING_ROWS = 20_000
 THRESHOLD = 0.7
+#: A landmark word has so many letters (shorter ones, being common, thin out what a single insult weighs); a spelled-out unit ORDER or more.
 MIN_LETTERS, MAX_LETTERS = 4, 20
+#: Beginnings of words are weighed too, of so many letters.
+STEMS = range(4, 9)
+#: Of two candidates of which one begins the other, the worthier stands for both if their toxic rows are so nearly as many.
+ALIKE = 0.8
 #: Words a worker remembers before it forgets them all.
 REMEMBERED = 500_000
 
 
 def codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A matrix of characters as numbers 1..31 (hashed beyond a-z), 0 after the end, and lengths."""
+    """A matrix of characters as numbers below 1 << BITS (hashed beyond a-z), 0 after the end, and lengths."""
     n = np.array([len(u) for u in units], np.int64)
     if len(units) == 0:
         return np.zeros((0, 1), np.uint8), n
     flat = np.frombuffer("".join(units).encode("utf-32-le", "replace"), np.uint32)
-    symbol = np.where((flat >= 97) & (flat <= 122), flat - 96, 27 + flat % 5).astype(np.uint8)
+    symbol = np.where((flat >= 97) & (flat <= 122), flat - 96, np.where(flat == ord(BEGIN), 27, 28 + flat % ((1 << BITS) - 28))).astype(np.uint8)
     out = np.zeros((len(units), max(1, int(n.max()))), np.uint8)
     out[np.arange(out.shape[1])[None, :] < n[:, None]] = symbol
     return out, n
@@ -103,7 +114,7 @@ def subsequences(matrix: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 18
             text = matrix[some].astype(np.int32)
             key = text[:, at[:, 0]]
             for j in range(1, ORDER):
-                key = key << 5 | text[:, at[:, j]]
+                key = key << BITS | text[:, at[:, j]]
             yield some, key, weight
 
 
@@ -125,12 +136,12 @@ class Landmarks:
     """Kernel values of units against fixed landmark words.
 
     The kernel is a dot product over all subsequences of ORDER characters; of a unit's, those
-    that no landmark has add nothing and are left out.
+    that no landmark has add nothing and are left out.  `begin` stands before each unit and landmark.
     """
 
-    def __init__(self, names: list[str]):
-        self.names = names
-        matrix, lengths = codes(names)
+    def __init__(self, names: list[str], begin: str = ""):
+        self.names, self.begin = names, begin
+        matrix, lengths = codes([begin + n for n in names])
         marks, keys, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for rows, key, weight in subsequences(matrix, lengths):
             marks.append(np.repeat(rows, key.shape[1]))
@@ -138,7 +149,7 @@ class Landmarks:
             weights.append(np.tile(weight, len(rows)))
         marks, keys, weights = np.concatenate(marks), np.concatenate(keys), np.concatenate(weights)
         used, at = np.unique(keys, return_inverse=True)
-        self.row = np.full(1 << 5 * ORDER, -1, np.int32)
+        self.row = np.full(1 << BITS * ORDER, -1, np.int32)
         self.row[used] = np.arange(len(used))
         table = np.bincount(at * len(names) + marks, weights, minlength=len(used) * len(names)).reshape(len(used), len(names))
         self.table = (table / np.sqrt(np.maximum((table**2).sum(axis=0), 1e-12))).astype(np.float32)
@@ -152,7 +163,7 @@ class Landmarks:
                     continue
                 for at in range(0, max(1, len(u) - STRIDE), STRIDE) if len(u) > WINDOW else (0,):
                     of.append(i)
-                    parts.append(u[at : at + WINDOW])
+                    parts.append(u[at : at + WINDOW] if at else self.begin + u[:WINDOW])
         of = np.array(of, np.int64)
         which, values = [np.zeros(0, np.int64)], [np.zeros((0, len(self.names)), np.float32)]
         for a in range(0, len(parts), 4096):
@@ -222,17 +233,17 @@ def units_by_row(data: np.ndarray, offsets: np.ndarray) -> list[set[str]]:
     raw = data.tobytes()
     rows = [set(raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace").lower().split()) for i in range(len(offsets) - 1)]
     starts, ends, bounds = words(data, offsets)
-    single = np.concatenate([[False], ends - starts == 1, [False]])
+    letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    single = np.concatenate([[False], letters[ends] - letters[starts] == 1, [False]])
     if single.any():
         step = np.diff(single.astype(np.int8))
         firsts, lasts = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        for a, b in zip(firsts, lasts, strict=True):
-            if b - a < MIN_LETTERS:
-                continue
-            cut = np.concatenate([[a], bounds[(bounds > a) & (bounds < b)], [b]])
+        long = lasts - firsts >= ORDER
+        for a, b in zip(firsts[long].tolist(), lasts[long].tolist(), strict=True):
+            cut = [a, *bounds[np.searchsorted(bounds, a, "right") : np.searchsorted(bounds, b, "left")].tolist(), b]
             for x, y in zip(cut[:-1], cut[1:], strict=True):
-                if y - x >= MIN_LETTERS:
-                    rows[int(np.searchsorted(bounds, x, "right")) - 1].add(data[starts[x:y]].tobytes().decode("ascii", "replace").lower())
+                if y - x >= ORDER:
+                    rows[int(np.searchsorted(bounds, x, "right")) - 1].add(b"".join(raw[starts[k] : ends[k]] for k in range(x, y)).decode("utf-8", "replace").lower())
     return rows
 
 
@@ -254,7 +265,7 @@ def pooled(rows: list[set[str]], known: Known) -> np.ndarray:
 
 
 def choose_landmarks(training: DataFrame, most: int = LANDMARKS) -> list[str]:
-    """training: label, text.  Words by how far presence tells labels apart, near ones once."""
+    """training: label, text.  Words and their beginnings by how far presence tells labels apart, near ones once."""
 
     def count(batches):
         for batch in batches:
@@ -262,9 +273,9 @@ def choose_landmarks(training: DataFrame, most: int = LANDMARKS) -> list[str]:
             row = 0
             for lo, data, offsets in text_slices(batch.column(1)):
                 for units in units_by_row(data, offsets):
-                    for w in {unit_of(u) for u in units}:
-                        if MIN_LETTERS <= len(w) <= MAX_LETTERS and w.isalpha():
-                            seen.setdefault(w, [0, 0])[labels[row]] += 1
+                    plain = {w for u in units if MIN_LETTERS <= len(w := unit_of(u)) <= MAX_LETTERS and w.isalpha()}
+                    for w in plain.union(w[:n] for w in plain for n in STEMS if n < len(w)):
+                        seen.setdefault(w, [0, 0])[labels[row]] += 1
                     row += 1
             yield pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.string()), "clean": pa.array([v[0] for v in seen.values()], pa.int64()), "toxic": pa.array([v[1] for v in seen.values()], pa.int64())})
 
@@ -273,14 +284,16 @@ def choose_landmarks(training: DataFrame, most: int = LANDMARKS) -> list[str]:
         return []
     counts = training.select("label", "text").mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     worth = F.col("toxic") * F.log((F.col("toxic") + 0.1) * (n[0] + 1.0) / ((F.col("clean") + 0.5) * (n[1] + 1.0)))
-    rows = counts.filter(F.col("toxic") >= 2).withColumn("worth", worth).filter(F.col("toxic") * n[0] > 4 * F.col("clean") * n[1]).orderBy(F.desc("worth"), "word").limit(CANDIDATES).collect()
-    names = [r["word"] for r in rows]
+    rows = counts.filter(F.col("toxic") >= 2).withColumn("worth", worth).filter(F.col("toxic") * n[0] > 4 * F.col("clean") * n[1]).orderBy(F.desc("worth"), F.desc(F.length("word")), "word").limit(CANDIDATES).collect()
+    names, toxic = [r["word"] for r in rows], [r["toxic"] for r in rows]
     if not names:
         return []
-    near, chosen = Landmarks(names).gram(), []
+    near, chosen = Landmarks(names, BEGIN).gram(), []
     for i in range(len(names)):
         if len(chosen) == most:
             break
+        if any((names[i].startswith(names[j]) or names[j].startswith(names[i])) and min(toxic[i], toxic[j]) >= ALIKE * max(toxic[i], toxic[j]) for j in chosen):
+            continue
         if not chosen or near[i, chosen].max() < APART:
             chosen.append(i)
     return [names[i] for i in chosen]
@@ -328,7 +341,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     names = choose_landmarks(training, landmarks)
     if not names:
         return None
-    marks = Landmarks(names)
+    marks = Landmarks(names, BEGIN)
 
     def describe(batches):
         known = Known(marks)
@@ -353,7 +366,7 @@ def score_toxicity(docs: DataFrame, model: dict | None, id_cols: list[str], text
         return rows.withColumn("text", F.lit(0.0)).toDF(*id_cols, score_col)
 
     def score(batches):
-        known = Known(Landmarks(model["names"]))
+        known = Known(Landmarks(model["names"], BEGIN))
         for batch in batches:
             found = [np.zeros(0)]
             for _, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
