@@ -72,13 +72,16 @@ def build(source: str | bytes, fragment=None, scripting=False, want=("nodes", "e
     return builder, text, encoding, confidence, invalid
 
 
-def parse_one(source: str | bytes, fragment=None, scripting=False, want=("nodes", "errors"), **hints) -> dict:
-    """The kernel on one document."""
+def parse_one(source: str | bytes, fragment=None, scripting=False, want=("nodes", "errors"), namespace_html=True, **hints) -> dict:
+    """The kernel on one document; without `namespace_html` elements of HTML have no namespace."""
     builder, text, encoding, confidence, invalid = build(source, fragment, scripting, want, **hints)
     out = {"encoding": encoding, "confidence": confidence, "compat_mode": builder.quirks, "nodes": None, "errors": None, "log": None}
     if "nodes" in want:
         names = ("kind", "parent_id", "enter_seq", "exit_seq", "depth", "child_idx", "ns", "name", "value", "public_id", "system_id", "attrs")
         out["nodes"] = [dict(zip(names, r, strict=True)) | {"node_id": i, "attrs": [dict(zip(("ns", "prefix", "name", "value"), a, strict=True)) for a in r[-1]]} for i, r in enumerate(builder.rows())]
+        if not namespace_html:
+            for node in out["nodes"]:
+                node["ns"] = None if node["ns"] == T.HTML else node["ns"]
     if "errors" in want:
         found = sorted(invalid + builder.errors, key=lambda e: e[0]) if invalid else builder.errors
         out["errors"] = []
@@ -109,7 +112,8 @@ def parse_html(html: Column | str, fragment: str | None = None, scripting: bool
     """Struct of a parsed document (null for null).  STRING columns are text, BINARY ones bytes with encoding discovery.
 
     `fragment` parses as children of that element; `want` names the arrays to fill; `hints` are
-    literal encoding hints: override, transport, same_origin_parent, likely, default.
+    literal encoding hints: override, transport, same_origin_parent, likely, default.  With
+    `namespace_html=False` HTML elements have a null namespace (filters and serializer take it for HTML's).
     """
 
     return _kernel(fragment, scripting, want, **hints)(F.col(html) if isinstance(html, str) else html)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import tables as T, writer
 from tagloom.operators import filters
-from tagloom.operators.parse import build, concatenate_text
+from tagloom.operators.parse import ATTR, build, concatenate_text
 from tagloom.operators.sanitize import SafeLists, safe_css, sanitize
 
 # Characters that make quotes necessary, by the two readings of the rules.
@@ -166,8 +167,14 @@ def pieces(stream: DataFrame, o: Options = Options(), encoding: str | None = Non
     return out.select("doc_id", "seq", "sub", "piece", "problem")
 
 
-def serialize(stream: DataFrame, o: Options = Options(), encoding: str | None = None, strict: bool = False, lists: SafeLists = SafeLists()) -> DataFrame:
-    """doc_id, html (STRING, or BINARY where an encoding is given), problems."""
+def serialize(stream: DataFrame, o: Options = Options(), encoding: str | None = None, strict: bool = False, lists: SafeLists = SafeLists(), extra: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
+    """doc_id, html (STRING, or BINARY where an encoding is given), problems.
+
+    `extra` are filters of the caller's own, from token stream to token stream, that run before
+    those of the options.
+    """
+    for own in extra:
+        stream = own(stream)
     parts = pieces(stream, o, encoding, lists)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "sub", F.coalesce("piece", F.lit("")).alias("piece")))), lambda p: p["piece"]), "")
     out = parts.groupBy("doc_id").agg(joined.alias("html"), F.array_compact(F.collect_list("problem")).alias("problems"))
@@ -246,6 +253,46 @@ def sax_events(stream: DataFrame) -> DataFrame:
     return stream.select("doc_id", "seq", "sub", F.posexplode(calls).alias("part", "event"), "ns", "name", "data", "attrs")
 
 
+def sax_calls(stream: DataFrame) -> DataFrame:
+    """`sax_events` with what surrounds them in each document: startDocument, prefix mappings, and their ends.
+
+    Adds columns prefix and uri; the order is (doc_id, seq, sub, part).
+    """
+    inner = sax_events(stream)
+    none = F.lit(None).cast("string")
+    mapping = lambda event, step: [F.struct(F.lit(event).alias("event"), F.lit(step + i).alias("part"), F.lit(p).alias("prefix"), F.lit(uri).alias("uri")) for i, (uri, p) in enumerate(T.PREFIXES.items())]
+    outer = lambda event, part: F.struct(F.lit(event).alias("event"), F.lit(part).alias("part"), none.alias("prefix"), none.alias("uri"))
+    before = F.array(outer("startDocument", 0), *mapping("startPrefixMapping", 1))
+    after = F.array(*mapping("endPrefixMapping", 0), outer("endDocument", len(T.PREFIXES)))
+    docs = stream.select("doc_id").distinct()
+    empty = F.array().cast(f"array<{ATTR}>")
+
+    def rows(calls, seq):
+        out = docs.select("doc_id", F.explode(calls).alias("c"))
+        return out.select("doc_id", F.lit(seq).alias("seq"), F.lit(0).alias("sub"), "c.part", "c.event", none.alias("ns"), none.alias("name"), none.alias("data"), empty.alias("attrs"), "c.prefix", "c.uri")
+
+    inside = inner.withColumn("prefix", none).withColumn("uri", none)
+    return rows(before, -1).unionByName(inside).unionByName(rows(after, (1 << 31) - 1))
+
+
+def token_lines(stream: DataFrame) -> DataFrame:
+    """doc_id, seq, sub, line: each token in a readable form, attributes sorted."""
+    prefixes = F.create_map(*[F.lit(x) for pair in T.PREFIXES.items() for x in pair])
+    spaced = lambda ns: F.when(ns.isNull() | (ns == T.HTML), F.lit("")).otherwise(F.concat(F.coalesce(prefixes[ns], ns), F.lit(" ")))
+    shown = F.array_sort(F.transform("attrs", lambda a: F.concat(F.lit(" "), F.when(a["ns"].isNull(), F.lit("")).otherwise(F.concat(F.coalesce(prefixes[a["ns"]], a["ns"]), F.lit(" "))), a["name"], F.lit('="'), a["value"], F.lit('"'))))
+    kind, named = F.col("type"), F.concat(spaced(F.col("ns")), F.col("name"))
+    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    line = (
+        F.when(kind.isin("StartTag", "EmptyTag"), F.concat(F.lit("<"), named, F.array_join(shown, ""), F.lit(">")))
+        .when(kind == "EndTag", F.concat(F.lit("</"), named, F.lit(">")))
+        .when(kind.isin("Characters", "SpaceCharacters"), quote(F.col("data")))
+        .when(kind == "Comment", F.concat(F.lit("<!-- "), F.col("data"), F.lit(" -->")))
+        .when(kind == "Doctype", F.concat(F.lit("<!DOCTYPE "), F.coalesce("name", F.lit("")), F.when(F.col("public_id").isNull() & F.col("system_id").isNull(), "").otherwise(F.concat(F.lit(" "), quote(F.coalesce("public_id", F.lit(""))), F.lit(" "), quote(F.coalesce("system_id", F.lit(""))))), F.lit(">")))
+        .otherwise(F.concat(kind, F.lit(" "), F.coalesce("name", "data", F.lit(""))))
+    )
+    return stream.select("doc_id", "seq", "sub", line.alias("line"))
+
+
 def genshi_events(stream: DataFrame) -> DataFrame:
     """doc_id, seq, sub, part, event: START, END, TEXT (merged), COMMENT, DOCTYPE."""
     kind = F.col("type")
@@ -281,6 +328,23 @@ def xml_public_id(value: str) -> str:
     return _NO_PUBLIC_ID.sub(lambda m: f"U{ord(m[0]):05X}", value)
 
 
+def restore_names(tree: DataFrame) -> DataFrame:
+    """`coerce_names` undone for the names of elements and attributes."""
+    # The digits stand for one code point, so built-in functions would need a pass a code point.
+
+    @F.pandas_udf("string")
+    def plain(names):
+        return names.map(lambda n: None if n is None else from_xml_name(n))
+
+    @F.pandas_udf("array<string>")
+    def plain_all(lists):
+        return lists.map(lambda x: [from_xml_name(n) for n in x])
+
+    renamed = F.transform(F.arrays_zip("attrs", "names"), lambda p: F.struct(p["attrs"]["ns"].alias("ns"), p["attrs"]["prefix"].alias("prefix"), p["names"].alias("name"), p["attrs"]["value"].alias("value")))
+    out = tree.withColumn("names", plain_all(F.transform("attrs", lambda a: a["name"])))
+    return out.withColumn("attrs", renamed).withColumn("name", F.when(F.col("kind") == "element", plain("name")).otherwise(F.col("name"))).drop("names")
+
+
 def coerce_names(tree: DataFrame) -> DataFrame:
     """A `nodes` relation with XML-safe element and attribute names, comments, texts and public ids."""
 

@@ -278,3 +278,33 @@ def test_style_values_take_no_time():
     for value in ("a" * 4000, "a-" * 2000, "'" + "a " * 2000, "a:" * 2000, "color: " + "1px " * 1000, "(" + "1," * 2000, "url(" * 1000, "-" * 4000 + ":", "a:b;" * 1000 + "'"):
         safe_css(value)
     assert time.perf_counter() - began < 5
+
+
+def test_namespace_of_html_is_optional(spark):
+    page = "<p>a<svg><b/></svg><math><mi>x"
+    rows = tree(spark, page, namespace_html=False).filter("kind = 'element'").collect()
+    assert {(r["name"], r["ns"]) for r in rows} >= {("p", None), ("body", None), ("svg", "http://www.w3.org/2000/svg"), ("mi", "http://www.w3.org/1998/Math/MathML")}
+    (with_ns,), (without,) = (S.serialize(tokens(tree(spark, page, namespace_html=n))).collect() for n in (True, False))
+    assert with_ns["html"] == without["html"]
+
+
+def test_sax_calls_and_token_lines(spark):
+    stream = tokens(tree(spark, "<!DOCTYPE html><p b=1 a=2>x<!--c--><svg xlink:href=y>"))
+    calls = [r["event"] for r in S.sax_calls(stream).orderBy("seq", "sub", "part").collect()]
+    assert calls[0] == "startDocument" and calls[-1] == "endDocument"
+    assert calls.count("startPrefixMapping") == calls.count("endPrefixMapping") == 6 and calls[1:7] == ["startPrefixMapping"] * 6
+    assert calls[7:-7] == [r["event"] for r in S.sax_events(stream).orderBy("seq", "sub", "part").collect()]
+    lines = [r["line"] for r in S.token_lines(stream).orderBy("seq", "sub").collect()]
+    assert lines[0] == "<!DOCTYPE html>" and '<p a="2" b="1">' in lines and '"x"' in lines and "<!-- c -->" in lines and '<svg svg xlink href="y">' in lines and "</svg svg>" in lines
+
+
+def test_own_filters_run_first(spark):
+    upper = lambda stream: stream.withColumn("data", F.upper("data"))
+    (row,) = S.serialize(tokens(tree(spark, "<p>a", fragment="div")), extra=[upper]).collect()
+    assert row["html"] == "<p>A"
+
+
+def test_names_are_restored(spark):
+    t = tree(spark, "<a:b c<d=1>")
+    key = lambda df: sorted((r["node_id"], r["name"] or "", tuple(a["name"] for a in r["attrs"])) for r in df.filter("kind = 'element'").collect())
+    assert key(S.restore_names(S.coerce_names(t))) == key(t)
