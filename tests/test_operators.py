@@ -155,7 +155,7 @@ def test_any_partitioning_gives_the_same(spark):
 
 
 def test_streams(spark, tmp_path):
-    from tagloom.streaming.pages import read_pages, stream_nodes, stream_serialized
+    from tagloom.streaming.pages import read_pages, stream_filtered, stream_nodes, stream_serialized
 
     folder = tmp_path / "in"
     spark.read.parquet(f"{SF}/pages.parquet").limit(5).repartition(2).write.parquet(str(folder))
@@ -163,6 +163,10 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "nodes")).select("doc_id").distinct().count() == 5
     stream_serialized(read_pages(spark, str(folder), 1), str(tmp_path / "html"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "html")).count() == 5
+    upper = lambda stream: stream.withColumn("data", F.upper("data"))
+    stream_filtered(read_pages(spark, str(folder), 1), str(tmp_path / "upper"), str(tmp_path / "c3"), extra=[upper]).awaitTermination()
+    both = spark.read.parquet(str(tmp_path / "html")).alias("x").join(spark.read.parquet(str(tmp_path / "upper")).alias("y"), "doc_id")
+    assert both.count() == 5 and both.filter(F.col("x.html") == F.col("y.html")).isEmpty()
 
 
 def test_readers(spark, tmp_path):
