@@ -23,6 +23,11 @@ _TAG_NAME = re.compile(r"[^\t\n\f\r />]*")
 _TAG_SKIP = re.compile(r"[\t\n\f\r ]*")
 _ATTR_NAME = re.compile(r"=?[^\t\n\f\r />=]*")
 _UNQUOTED = re.compile(r"[^\t\n\f\r >]+")
+_DASHES = re.compile("--+")
+#: Errors of comments that never end, by their last characters.
+_EOF_IN_COMMENT = {"-": "eof-in-comment-end-dash", "--": "eof-in-comment-double-dash", "--!": "eof-in-comment-end-bang-state"}
+_WRONG_IN_NAME = re.compile("['\"<]")
+_WRONG_IN_VALUE = re.compile("[\"'=<`]")
 _COMMENT_END = re.compile(r"--!?>")
 _COMMENT_TAIL = re.compile(r"(?:--!|--|-)\Z")
 _REFERENCE = re.compile(r"&(?:#(?:[xX]([0-9a-fA-F]*)|([0-9]*))|([0-9A-Za-z]+;?))")
@@ -245,6 +250,17 @@ class Lexer:
         self.i = end + 1 if end >= 0 else self.n
         return Token(COMMENT, data=text.replace("\0", "�"))
 
+    def _dashes(self, at: int, end: int):
+        """Reports what follows two dashes in a comment and doesn't end it."""
+        for m in _DASHES.finditer(self.s, at, end):
+            for k in range(m.start() + 2, m.end()):
+                self.report("unexpected-dash-after-double-dash-in-comment", k + 1)
+            after = self.s[m.end() : min(end, m.end() + 1)]
+            if after == "!":
+                self.report("unexpected-bang-after-double-dash-in-comment", m.end() + 1)
+            elif after and after != ">":
+                self.report("unexpected-char-in-comment", m.end() + 1)
+
     def _declaration(self, at: int):
         s = self.s
         if s.startswith("--", at):
@@ -255,14 +271,13 @@ class Lexer:
                 yield Token(COMMENT, data="")
                 return
             m = _COMMENT_END.search(s, at)
+            self._dashes(at, m.end() if m else self.n)
             if m:
                 text, self.i = s[at : m.start()], m.end()
-                if m[0] == "--!>":
-                    self.report("unexpected-bang-after-double-dash-in-comment", m.end())
-                elif "--" in text:
-                    self.report("unexpected-char-in-comment", m.start())
             else:
-                self.report("eof-in-comment", self.n)
+                tail = _COMMENT_TAIL.search(s, at)
+                kind = _EOF_IN_COMMENT.get(tail[0] if tail else "", "eof-in-comment")
+                self.report(kind if self.n - at > 1 else "eof-in-comment", self.n)
                 text, self.i = _COMMENT_TAIL.sub("", s[at:]), self.n
             yield Token(COMMENT, data=text.replace("\0", "�"))
         elif s[at : at + 7].upper() == "DOCTYPE" and s[at : at + 7].isascii():
@@ -283,10 +298,14 @@ class Lexer:
         s = self.s
         m = _TAG_NAME.match(s, at)
         token, i = Token(kind, lower(m[0]).replace("\0", "�")), m.end()
+        ended = "eof-in-tag-name"  # the error, should the input end here
+        named = False  # whether an attribute's name without a value comes before
         while True:
-            i = _TAG_SKIP.match(s, i).end()
+            start, i = i, _TAG_SKIP.match(s, i).end()
+            if i > start:
+                ended = "expected-end-of-tag-but-got-eof" if named else "expected-attribute-name-but-got-eof"
             if i >= self.n:
-                self.report("expected-attribute-name-but-got-eof" if token.attrs else "eof-in-tag-name", self.n)
+                self.report(ended, self.n)
                 self.i = self.n
                 return
             c = s[i]
@@ -298,16 +317,28 @@ class Lexer:
                     token.self_closing = True
                     i += 2
                     break
-                self.report("unexpected-character-after-solidus-in-tag" if i + 1 < self.n else "unexpected-EOF-after-solidus-in-tag", i + 1)
+                if i + 1 >= self.n:
+                    self.report("unexpected-EOF-after-solidus-in-tag", self.n)
+                    self.i = self.n
+                    return
+                self.report("unexpected-character-after-solidus-in-tag", i + 1)
                 i += 1
+                ended, named = "expected-attribute-name-but-got-eof", False
                 continue
-            if c in "'\"=<":
-                self.report("invalid-character-in-attribute-name", i)
+            if c in "'\"<" or c == "=" and not named:
+                self.report("invalid-character-after-attribute-name" if named else "invalid-character-in-attribute-name", i)
             m = _ATTR_NAME.match(s, i)
+            for wrong in _WRONG_IN_NAME.finditer(s, i + 1, m.end()):
+                self.report("invalid-character-in-attribute-name", wrong.start())
             name, i = lower(m[0]).replace("\0", "�"), m.end()
+            ended, named = "eof-in-attribute-name", True
+            value, before = "", i
             i = _TAG_SKIP.match(s, i).end()
-            value = ""
-            if s.startswith("=", i):
+            if not s.startswith("=", i):
+                i = before
+            else:
+                named = False
+                ended = "expected-attribute-value-but-got-eof"
                 i = _TAG_SKIP.match(s, i + 1).end()
                 quote = s[i : i + 1]
                 if quote in ("'", '"') and quote:
@@ -318,16 +349,20 @@ class Lexer:
                         return
                     value = self.attribute_value(s[i + 1 : end], i + 1)
                     i = end + 1
+                    ended = "unexpected-EOF-after-attribute-value"
                     if i < self.n and s[i] not in "\t\n\f\r />":
                         self.report("unexpected-character-after-attribute-value", i)
                 elif quote == ">":
                     self.report("expected-attribute-value-but-got-right-bracket", i)
                 elif quote:
                     m = _UNQUOTED.match(s, i)
-                    if any(x in m[0] for x in "\"'=<`"):
-                        self.report("unexpected-character-in-unquoted-attribute-value", i)
+                    if quote in "=<`":
+                        self.report("equals-in-unquoted-attribute-value", i)
+                    for wrong in _WRONG_IN_VALUE.finditer(s, i + 1, m.end()):
+                        self.report("unexpected-character-in-unquoted-attribute-value", wrong.start())
                     value = self.attribute_value(m[0], i)
                     i = m.end()
+                    ended = "eof-in-attribute-value-no-quotes"
             if name in token.attrs:
                 self.report("duplicate-attribute", i)
             else:
@@ -368,15 +403,16 @@ class Lexer:
         token.name = lower(s[i:end]).replace("\0", "�")
         i = _DOCTYPE_SPACE.match(s, end).end()
         if i >= self.n:
-            return give_up("eof-in-doctype", i)
+            return give_up("eof-in-doctype" if i > end else "eof-in-doctype-name", i)
         if s[i] == ">":
             self.i = i + 1
             return token
         word = s[i : i + 6].upper()
         if word not in ("PUBLIC", "SYSTEM") or not s[i : i + 6].isascii():
             return give_up("expected-space-or-right-bracket-in-doctype", i)
-        i = _DOCTYPE_SPACE.match(s, i + 6).end()
+        before = i + 6
         for field in ("public", "system") if word == "PUBLIC" else ("system",):
+            i = _DOCTYPE_SPACE.match(s, before).end()
             if i >= self.n:
                 return give_up("eof-in-doctype", i)
             quote = s[i]
@@ -384,12 +420,15 @@ class Lexer:
                 if quote == ">" and (field == "system" and word == "PUBLIC"):
                     self.i = i + 1
                     return token
-                return give_up("unexpected-end-of-doctype" if quote == ">" else "unexpected-char-in-doctype", i)
+                return give_up("unexpected-end-of-doctype" if quote == ">" and field == "public" else "unexpected-char-in-doctype", i)
+            if i == before:
+                self.report("unexpected-char-in-doctype", i)  # no space before the quote
             stop = min((x for x in (s.find(quote, i + 1), s.find(">", i + 1)) if x >= 0), default=self.n)
             setattr(token, field, s[i + 1 : stop].replace("\0", "�"))
             if stop >= self.n or s[stop] == ">":
                 return give_up("unexpected-end-of-doctype" if stop < self.n else "eof-in-doctype", stop)
-            i = _DOCTYPE_SPACE.match(s, stop + 1).end()
+            before = stop + 1
+        i = _DOCTYPE_SPACE.match(s, before).end()
         if i >= self.n:
             return give_up("eof-in-doctype", i)
         if s[i] == ">":

@@ -177,3 +177,31 @@ def test_hostile_pages_take_little_time():
         assert time.perf_counter() - began < 8, page[:20]
     text = lambda page: "".join(n["value"] for n in parse_one(page)["nodes"] if n["kind"] == "text")
     assert text("&#" + "0" * 5000 + "65;x") == "Ax" and text("&#" + "9" * 5000 + ";x") == "�x"
+
+
+@pytest.mark.parametrize(
+    ("html", "codes"),
+    [
+        ("<a", "eof-in-tag-name"), ("<a ", "expected-attribute-name-but-got-eof"), ("<a b", "eof-in-attribute-name"), ("<a b ", "expected-end-of-tag-but-got-eof"),
+        ("<a b=", "expected-attribute-value-but-got-eof"), ("<a b=c", "eof-in-attribute-value-no-quotes"), ('<a b="c"', "unexpected-EOF-after-attribute-value"),
+        ("<a/", "unexpected-EOF-after-solidus-in-tag"), ('<p a"b>', "invalid-character-in-attribute-name"), ('<p a "b>', "invalid-character-after-attribute-name"),
+        ("<p a==x>", "equals-in-unquoted-attribute-value"), ('<p a=x"y>', "unexpected-character-in-unquoted-attribute-value"), ("<p a = x b>", ""), ("<p a b=c>", ""),
+        ("<!-->", "incorrect-comment"), ("<!--a", "eof-in-comment"), ("<!--a-", "eof-in-comment-end-dash"), ("<!--a--", "eof-in-comment-double-dash"),
+        ("<!--a--!", "unexpected-bang-after-double-dash-in-comment eof-in-comment-end-bang-state"), ("<!--a--->", "unexpected-dash-after-double-dash-in-comment"),
+        ("<!--a--b-->", "unexpected-char-in-comment"), ("<!--a-b-->", ""),
+    ],
+)
+def test_error_codes_of_tags_and_comments(html, codes):
+    found = parse_one("<!DOCTYPE html>" + html)["errors"]
+    assert [e["code"] for e in found if e["code"] != "expected-closing-tag-but-got-eof"] == codes.split()
+
+
+@pytest.mark.parametrize(
+    ("html", "code"),
+    [
+        ("<!DOCTYPE h", "eof-in-doctype-name"), ("<!DOCTYPE h ", "eof-in-doctype"), ("<!DOCTYPE html SYSTEM>", "unexpected-char-in-doctype"),
+        ("<!DOCTYPE html PUBLIC>", "unexpected-end-of-doctype"), ("<!DOCTYPE html SYSTEM'a'>", "unexpected-char-in-doctype"), ("<!DOCTYPEhtml>", "need-space-after-doctype"),
+    ],
+)
+def test_error_codes_of_doctypes(html, code):
+    assert parse_one(html)["errors"][0]["code"] == code
