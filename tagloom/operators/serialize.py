@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import tables as T, writer
 from tagloom.operators import filters
-from tagloom.operators.parse import ATTR, build, concatenate_text
+from tagloom.operators.parse import ATTR, build, concatenate_text, is_html
 from tagloom.operators.sanitize import SafeLists, safe_css, sanitize
 
 # Characters that make quotes necessary, by the two readings of the rules.
@@ -303,6 +303,34 @@ def genshi_events(stream: DataFrame) -> DataFrame:
     return concatenate_text(stream).select("doc_id", "seq", "sub", F.posexplode(events).alias("part", "event"), "ns", "name", "data", "public_id", "system_id", "attrs")
 
 
+def tokens_from_events(events: DataFrame) -> DataFrame:
+    """Tokens of a stream of START, END, TEXT, COMMENT and DOCTYPE events, as `genshi_events` makes them.
+
+    A void HTML element's START is an EmptyTag and its END goes; texts are cut into leading spaces, the
+    rest and trailing spaces; other events are left out.
+    """
+    event, data = F.col("event"), F.col("data")
+    void = is_html(F.col("ns")) & F.col("name").isin(*sorted(T.VOID))
+    left = F.regexp_extract(data, r"^([\t\n\f\r ]*)", 1)
+    rest = F.regexp_replace(data, r"^[\t\n\f\r ]+", "")
+    right = F.regexp_extract(rest, r"([\t\n\f\r ]*)\z", 1)
+    middle = F.substring(rest, F.lit(1), F.length(rest) - F.length(right))
+    one = lambda sub, kind, text, when: F.when(when, F.struct(F.lit(sub).alias("cut"), F.lit(kind).alias("type"), text.alias("text")))
+    text = event == "TEXT"
+    made = F.array(
+        one(0, "StartTag", data, (event == "START") & ~void),
+        one(0, "EmptyTag", data, (event == "START") & void),
+        one(0, "EndTag", data, (event == "END") & ~void),
+        one(0, "Comment", data, event == "COMMENT"),
+        one(0, "Doctype", data, event == "DOCTYPE"),
+        one(0, "SpaceCharacters", left, text & (left != "")),
+        one(1, "Characters", middle, text & (middle != "")),
+        one(2, "SpaceCharacters", right, text & (right != "")),
+    )
+    rows = events.withColumn("t", F.explode(F.array_compact(made)))
+    return rows.select("doc_id", "seq", (F.col("sub") * 3 + F.col("t.cut")).alias("sub"), "t.type", "ns", "name", F.col("t.text").alias("data"), "public_id", "system_id", "attrs")
+
+
 # -- XML-safe names and data -------------------------------------------------------------------
 
 _NAME_START = re.compile(r"[A-Za-z_À-ÖØ-öø-˿Ͱ-ͽͿ-῿‌-‍⁰-↏Ⰰ-⿯、-퟿豈-﷏ﷰ-�]")
@@ -367,3 +395,18 @@ def coerce_names(tree: DataFrame) -> DataFrame:
     out = tree.withColumn("names", safe_all(F.transform("attrs", lambda a: a["name"])))
     out = out.withColumn("public_id", public("public_id"))
     return out.withColumn("attrs", renamed).withColumn("name", F.when(F.col("kind") == "element", safe("name")).otherwise(F.col("name"))).withColumn("value", value).drop("names")
+
+
+def coercion_losses(tree: DataFrame) -> DataFrame:
+    """(doc_id, node_id, problem) of what `coerce_names` has to change in a `nodes` relation."""
+    safe = coerce_names(tree).select(F.col("doc_id").alias("d"), F.col("node_id").alias("i"), F.col("name").alias("n"), F.col("value").alias("v"), F.col("public_id").alias("p"), F.transform("attrs", lambda a: a["name"]).alias("a"))
+    both = tree.join(safe, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("node_id") == F.col("i")))
+    differ = lambda x, y: ~F.col(x).eqNullSafe(F.col(y))
+    problems = F.array(
+        F.when((F.col("kind") == "element") & differ("name", "n"), "element name"),
+        F.when((F.col("kind") == "element") & ~F.transform("attrs", lambda a: a["name"]).eqNullSafe(F.col("a")), "attribute name"),
+        F.when((F.col("kind") == "comment") & differ("value", "v"), "comment"),
+        F.when((F.col("kind") == "text") & differ("value", "v"), "text"),
+        F.when((F.col("kind") == "doctype") & differ("public_id", "p"), "public identifier"),
+    )
+    return both.select("doc_id", "node_id", F.explode(F.array_compact(problems)).alias("problem"))

@@ -312,3 +312,16 @@ def test_names_are_restored(spark):
     t = tree(spark, "<a:b c<d=1>")
     key = lambda df: sorted((r["node_id"], r["name"] or "", tuple(a["name"] for a in r["attrs"])) for r in df.filter("kind = 'element'").collect())
     assert key(S.restore_names(S.coerce_names(t))) == key(t)
+
+
+def test_tokens_come_back_from_events(spark):
+    stream = tokens(tree(spark, "<!DOCTYPE html><p a=1> x <br>y<!--c--> <svg><br/></svg>", fragment=None))
+    again = S.tokens_from_events(S.genshi_events(stream))
+    key = lambda df: [(r["type"], r["name"], r["data"]) for r in df.orderBy("seq", "sub").collect()]
+    assert key(again) == key(stream)
+    assert S.serialize(again).first()["html"] == S.serialize(stream).first()["html"]
+
+
+def test_losses_are_named(spark):
+    t = tree(spark, '<!DOCTYPE html PUBLIC "a{b" ""><!--a--b--><x:y c<d=1>ok<b>fine')
+    assert sorted(r["problem"] for r in S.coercion_losses(t).collect()) == ["attribute name", "comment", "element name", "public identifier"]
