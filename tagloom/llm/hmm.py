@@ -15,8 +15,9 @@ by a hash, each block asks for the counts of its own words by a join, and gets t
 its texts.  Only the head (HEAD words) goes to every executor.
 
 Defined cases: a null text counts as empty, which has one token, its end; without training rows
-every count is 0 and all words are equally unknown; repeated rows count each; long texts are
-scored whole.
+every count is 0 and all words are equally unknown; repeated rows count each; words of equal count
+enter the head by their hash; long texts are scored whole; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ ROUNDS = 5
 #: The hash that stands for the end.
 END = np.int64(1)
 #: Rows of the score's blocks: about so many bytes of text each.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +291,7 @@ def lm_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     model, classes, sums = train_hmm(texts, counts)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartitionById(blocks, "block")
     context = docs.sparkSession.sparkContext
     sent = context.broadcast((model, classes, sums))
 
