@@ -42,8 +42,6 @@ DARTS = K * np.log(K) + 2 * K
 #: Buckets of at most so many members emit their open pairs, larger ones compare blocks.
 SMALL_BUCKET = 16
 BLOCK = 256
-#: Ids of candidates go to every executor up to so many, else they are joined by a shuffle.
-BROADCAST_IDS = 200_000
 
 _U = np.uint64
 #: Poisson(1) distribution function at 0, 1, 2, ...; the last entry is 1 within 64 bits.
@@ -277,10 +275,12 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 
 def _candidate_sets(rows: DataFrame, texts: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Full sets of the texts that share a bucket, written once; read from the row of the smallest id."""
+    """Full sets of the texts that share a bucket, written once; read from the row of the smallest id.
+
+    The table of ids is small only as long as few texts have near copies: the planner sees its size
+    and sends it to every executor or deals both sides by text.
+    """
     ids = stored(buckets.select("rep").distinct().join(texts.select(F.col("node").alias("rep"), "copy_of"), "rep"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
     some = rows.join(ids, (F.col("node") == F.col("rep")) & F.col("id").eqNullSafe(F.col("copy_of")), "left_semi")
     return stored(_full_sets(some.select(F.col("node").alias("id"), "text")).dropDuplicates(["id"]))
 
