@@ -6,12 +6,14 @@ is the bundle (sum) of its n-grams, a language the bundle of its training texts,
 weight 1 in all.  A text goes to the language with the highest cosine, after the mean of all
 prototypes is taken from both sides: what all languages share doesn't tell them apart.
 
-Letters are UTF-8 code units: a-z in either case, and hashed units of other scripts; anything
-else is one gap symbol, and runs of it count once.  Bundling is linear, so training adds up
+Letters are a-z in either case, and the code points of other letters modulo 37, so that those of
+one alphabet keep apart; anything else is one gap symbol, and runs of it count once.  Bundling is linear, so training adds up
 n-gram weights a language (in the JVM) and binds each n-gram once.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; null languages don't
-train; without training rows everything is `und`; ties go to the first language by name.
+train; without training rows everything is `und`; ties go to the first language by name; repeated
+rows get equal results; long texts are read whole; other columns, whatever their names, don't
+matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,19 +32,29 @@ UNKNOWN = "und"
 SLICE = 1 << 21
 
 
-def _symbols() -> np.ndarray:
-    out = np.zeros(256, np.uint8)
-    for b in range(256):
-        if 65 <= (b & ~32) <= 90:
-            out[b] = (b & 31)
-        elif 0x80 <= b < 0xC0:
-            out[b] = 27 + (b & 31)  # the two cases of Latin letters with accents differ in bit 5
-        elif b >= 0xC0:
-            out[b] = 59 + ((b >> 1) & 3)
-    return out
+#: a-z in either case are 1 to 26, all else below 128 is the gap, 0.
+SYMBOL = np.zeros(256, np.uint8)
+SYMBOL[65:91] = SYMBOL[97:123] = np.arange(1, 27)
+OTHERS = SYMBOLS - 27
+
+
+def letter_symbols(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Symbols of the characters beyond ASCII that begin at `at`: 27 up by code point, 0 for signs.
+
+    Capitals of the Latin, Greek and Cyrillic blocks go with their small letters.  Neighbours in
+    an alphabet get different symbols, as one holds no more than `OTHERS` of them as a rule.
+    """
+    padded = np.append(data, np.zeros(3, np.uint8))
+    a, b, c, d = (padded[at + i].astype(np.int32) for i in range(4))
+    b, c, d = b & 63, c & 63, d & 63
+    point = np.where(a < 0xE0, (a & 31) << 6 | b, np.where(a < 0xF0, (a & 15) << 12 | b << 6 | c, (a & 7) << 18 | b << 12 | c << 6 | d))
+    sign = (point < 0xC0) | (point == 0xD7) | (point == 0xF7) | (point >= 0x2000) & (point < 0x2C00) | (point >= 0x3000) & (point < 0x3041) | (point >= 0x1F000) & (point < 0x20000)
+    for low, high, step in ((0xC0, 0xDF, 0x20), (0x391, 0x3AC, 0x20), (0x410, 0x430, 0x20), (0x400, 0x410, 0x50), (0x386, 0x387, 0x26), (0x388, 0x38B, 0x25), (0x38C, 0x38D, 0x40), (0x38E, 0x390, 0x3F)):
+        point = np.where((point >= low) & (point < high), point + step, point)
+    point = np.where((point >= 0x100) & (point < 0x180), point | 1, point)
+    return np.where(sign, 0, 27 + point % OTHERS).astype(np.uint8)
 
 
-SYMBOL = _symbols()
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
 
@@ -65,6 +77,10 @@ def grams_of(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple
     """(row, n-gram id) of every n-gram; none crosses rows."""
     symbol = SYMBOL[data]
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    if len(wide := np.flatnonzero(data >= 0xC0)):
+        symbol[wide] = letter_symbols(data, wide)
+        begins = (data & 0xC0) != 0x80
+        symbol, row = symbol[begins], row[begins]
     keep = np.ones(len(symbol), bool)
     keep[1:] = (symbol[1:] != 0) | (symbol[:-1] != 0) | (row[1:] != row[:-1])
     symbol, row = symbol[keep].astype(np.int32), row[keep]
@@ -171,9 +187,9 @@ def detect_language(docs: DataFrame, names: list[str], profiles: np.ndarray, id_
                 names=[*batch.schema.names[:-1], "lang_pred", "score"],
             )
 
-    rows = docs.select(*id_cols, F.col(text_col).cast("string").alias("__text"))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in id_cols)
-    return rows.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(id_cols)], F.col(text_col).cast("string").alias("text"))
+    kinds = ", ".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(id_cols)))
+    return rows.mapInArrow(predict, f"{kinds}, lang_pred string, score double").toDF(*id_cols, "lang_pred", "score")
 
 
 def language_report(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ the labelled rows; after each epoch the shards' states are averaged and go out a
 Scoring is a sparse dot product over every whole text.
 
 Defined cases: null and empty texts have the bias alone; null labels don't train; rows without
-labels are scored alike; with no labelled row every score is 0.5.
+labels are scored alike; with no labelled row every score is 0.5; of clashing labels of one id the
+larger counts; rows that repeat an id each train, in order of id; repeated rows get equal scores;
+long texts are read whole; other columns, whatever their names, don't matter; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -125,15 +128,20 @@ def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     for _ in range(epochs):
         sent = context.broadcast(state)
 
-        def learn(key, table):
+        def learn(batches):
             z, s = (v.copy() for v in sent.value)
-            table = table.sort_by("doc_id")
-            read = [(y, np.frombuffer(a, np.int32), np.frombuffer(x, np.float32).astype(np.float64)) for y, a, x in zip(*(table.column(c).to_pylist() for c in ("label", "ids", "x")), strict=True)]
-            ftrl_pass(read, z, s, balance)
-            return pa.table({"slot": pa.array([0], pa.int32()), "part": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([np.concatenate([z, s, [1.0]]).tobytes()], pa.binary())})
+            shard = None
+            for batch in batches:  # one at a time, as texts have any length
+                for i in range(batch.num_rows):
+                    shard = batch.column(4)[i].as_py()
+                    ids, x = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in ((2, np.int32), (3, np.float32)))
+                    ftrl_pass([(batch.column(1)[i].as_py(), ids, x.astype(np.float64))], z, s, balance)
+            if shard is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([shard], pa.int32()), pa.array([np.concatenate([z, s, [1.0]]).tobytes()], pa.binary())], names=["slot", "part", "data"])
 
         shard = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(SHARDS)).cast("int")
-        states = rows.withColumn("shard", shard).groupBy("shard").applyInArrow(learn, "slot int, part int, data binary")
+        dealt = rows.select("doc_id", "label", "ids", "x", shard.alias("shard")).repartitionById(SHARDS, "shard").sortWithinPartitions("doc_id", "label", "ids")
+        states = dealt.mapInArrow(learn, "slot int, part int, data binary")
         total = np.frombuffer(summed_blocks(states, 2).collect()[0]["data"], np.float64)
         mean = total[:-1] / total[-1]
         state = (mean[: len(state[0])], mean[len(state[0]) :])
@@ -153,9 +161,9 @@ def score_quality(docs: DataFrame, weights: np.ndarray, bias: float, id_cols: li
             p = 1.0 / (1.0 + np.exp(-np.clip(np.concatenate(found), -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], "score"])
 
-    rows = docs.select(*id_cols, F.col(text_col).cast("string").alias("__text"))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in id_cols)
-    return rows.mapInArrow(score, f"{kinds}, score double")
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(id_cols)], F.col(text_col).cast("string").alias("text"))
+    kinds = ", ".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(id_cols)))
+    return rows.mapInArrow(score, f"{kinds}, score double").toDF(*id_cols, "score")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ candidate with few characters per token is reported, unless it looks like a know
 identifier.
 
 Defined cases: a null text counts as empty and has no spans; long texts are scanned whole;
-repeated rows give repeated results; other columns of the input are left out of `find_secrets`
-and kept as they are by `redact_secrets`.
+repeated rows give repeated results; null ids are ids like others; at one start kinds have a fixed
+order; a random string that touches a base span is left out; an empty table gives no rows; other
+columns of the input are left out of `find_secrets` and kept as they are by `redact_secrets`.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -93,9 +96,11 @@ def spans_of(text: str, path: str = VOCABULARY, most: float = MAX_CHARS_PER_TOKE
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     found += [("hex", *m.span()) for m in HEX.finditer(text) if m.end() - m.start() >= MIN_HEX]
     base = sorted((a, b) for _, a, b in found)
+    starts, furthest = [a for a, _ in base], list(accumulate((b for _, b in base), max))
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if b - a >= MIN_RANDOM and not any(x < b and a < y for x, y in base) and looks_random(m[0], path, most):
+        before = bisect_left(starts, b)  # base spans that begin before the candidate ends
+        if b - a >= MIN_RANDOM and not (before and furthest[before - 1] > a) and looks_random(m[0], path, most):
             found.append(("random", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 

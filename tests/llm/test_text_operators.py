@@ -71,11 +71,28 @@ def test_secrets_equal_plain_patterns(spark, docs, table):
 
 def test_random_strings(spark, docs):
     rows = {r.doc_id: r for r in secrets.secrets_report(docs(*SECRETS)).collect()}
-    assert rows[3].spans == "random:4:36" and rows[4].spans == "hex:0:0"[:0] + rows[4].spans and rows[4].n_random == 0
+    assert rows[3].spans == "random:4:36" and rows[4].n_random == 0 and rows[4].spans == "hex:44:60"
     assert not secrets.looks_random("d41d8cd98f00b204e9800998ecf8427e")
     assert not secrets.looks_random("configuration_value_2024")
 
 
+def test_many_spans_take_linear_time(spark, docs):
+    """Each candidate is held against all base spans: those of 20,000 lines, in a few seconds."""
+    import time
+
+    lines = [f"token = abcdefghijkl{i:06d} q7Rk2Vx9LmZp4TbWc8Yd{i:06d}" for i in range(20_000)]
+    began = time.perf_counter()
+    found = secrets.spans_of("\n".join(lines))
+    assert time.perf_counter() - began < 20
+    base = [s for s in found if s[0] != "random"]
+    assert len([s for s in base if s[0] == "assign"]) == 20_000
+    few = "\n".join(lines[:300])
+    spans = secrets.spans_of(few)
+    fixed = [(a, b) for k, a, b in spans if k != "random"]
+    plain = [m.span() for m in secrets.CANDIDATE.finditer(few) if m.end() - m.start() >= 16 and not any(x < m.end() and m.start() < y for x, y in fixed) and secrets.looks_random(m[0])]
+    assert [(a, b) for k, a, b in spans if k == "random"] == plain
+
+
 def test_redaction(spark, docs):
     df = docs(*SECRETS, None, "clean", extra=True)
     out = {r.doc_id: r for r in secrets.redact_secrets(df).collect()}
@@ -101,6 +118,29 @@ def test_bundles_equal_a_plain_sum():
     assert np.allclose(language.gram_vectors(gram, 64).sum(0), total)
 
 
+def test_letters_of_other_scripts_keep_apart():
+    for alphabet in ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àâäçèéêëîïñóôöùûüß", "あいうえおかきくけこ"):
+        ((_, data, offsets),) = text_slices(pa.array([alphabet]))
+        symbols = language.letter_symbols(data, np.flatnonzero(data >= 0xC0)).tolist()
+        assert len(set(symbols)) == len(alphabet) and min(symbols) >= 27
+    ((_, data, offsets),) = text_slices(pa.array(["ПРИВЕТ ΚΌΣΜΟΣ ÉTÉ", "привет κόσμος été", "…—“”€×"]))
+    row, gram = language.grams_of(data, offsets)
+    assert (gram[row == 0] != gram[row == 1]).sum() <= 3  # a final sigma
+    assert not (row == 2).any()
+
+
+def test_language_of_three_scripts(spark):
+    rng = np.random.default_rng(2)
+    alphabets = {"ru": "абвгдежзиклмнопрстуфхцчшщыэюя", "el": "αβγδεζηθικλμνξοπρστυφχψω", "en": "abcdefghijklmnopqrstuvwxyz"}
+    rows = []
+    for name, letters in alphabets.items():
+        parts = ["".join(rng.choice(list(letters), 3)) for _ in range(20)]
+        rows += [(" ".join("".join(rng.choice(parts, 2)) for _ in range(40)), name) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(rows)], "doc_id long, text string, lang string").selectExpr("*", "1 as c0", "2 as score")
+    found = {r.doc_id: r.lang_pred for r in language.language_report(df.union(df)).collect()}
+    assert found == {i: g for i, (_, g) in enumerate(rows)}
+
+
 def test_language_held_out_accuracy(spark, table):
     df = table("documents")
     truth = {r[0]: r[1] for r in df.select("doc_id", "lang").collect()}
@@ -217,6 +257,13 @@ def test_base_scores_equal_plain_counts(spark, docs, table):
     assert hmm.lm_report(docs("a").limit(0)).count() == 0
 
 
+def test_blocks_do_not_change_scores(spark, docs):
+    rng = np.random.default_rng(1)
+    df = docs(*[" ".join(f"w{x}" for x in rng.zipf(1.5, 60) if x < 5000) for _ in range(200)], *ODD)
+    few, many = ({r.doc_id: (r.base_score, r.score) for r in hmm.lm_report(df, block_bytes=b).collect()} for b in (1 << 30, 2000))
+    assert few.keys() == many.keys() and all(np.allclose(few[i], many[i], rtol=1e-9) for i in few)
+
+
 def test_forward_equals_all_paths():
     from itertools import product
 
@@ -254,6 +301,24 @@ def test_every_pair_has_its_kernel_value(spark):
     assert got["idt", "idiot"] > 0.15 and got["mrn", "moron"] > 0.15 and got["block-head", "blockhead"] > 0.999
 
 
+def test_beginnings_of_words_and_spelled_out_letters(spark, docs):
+    rng = np.random.default_rng(7)
+    ends = ["".join(rng.choice(list("aeiounrst"), 4)) for _ in range(80)]
+    toxic = [f"one two krzug{e} three" for e in ends[:60]]
+    training = docs(*toxic, *[f"one two {e}krzug three" for e in ends]).selectExpr("cast(doc_id < 60 as int) as label", "text")
+    assert "krzug" in toxicity.choose_landmarks(training)
+    marks = toxicity.Landmarks(["krzug"], toxicity.BEGIN)
+    unit, _, value = marks.values(["krzugaeio", "aeiokrzug", "ordinary"])
+    k = lambda a, b: plain_kernel("^" + a, "^" + b, toxicity.ORDER, toxicity.DECAY)
+    for u, v in zip(unit.tolist(), value.tolist(), strict=True):
+        w = ("krzugaeio", "aeiokrzug", "ordinary")[u]
+        assert math.isclose(v, k(w, "krzug") / math.sqrt(k(w, w) * k("krzug", "krzug")), rel_tol=1e-4)
+    assert value[0] > 1.2 * value[1]
+    ((_, data, offsets),) = text_slices(pa.array(["a f o e", "é ä ü", "x y", "m é r d e x"]))
+    units = toxicity.units_by_row(data, offsets)
+    assert "afoe" in units[0] and "éäü" in units[1] and "xy" not in units[2] and "mérdex" in units[3]
+
+
 def test_as_many_landmarks_as_insults(spark, docs):
     insults = ["".join(np.random.default_rng(i).choice(list("bcdfghjklmnpqrstvwxz"), 9)) for i in range(60)]
     texts = [f"you {w} there" for w in insults for _ in range(3)] + ["the tree is green"] * 60
