@@ -55,7 +55,7 @@ STEMS = range(4, 9)
 #: Of two candidates of which one begins the other, the worthier stands for both if their toxic rows are so nearly as many.
 ALIKE = 0.8
 #: Words a worker remembers before it forgets them all.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
