@@ -37,7 +37,7 @@ ROUNDS = 5
 #: The hash that stands for the end.
 END = np.int64(1)
 #: Rows of the score's blocks: about so many bytes of text each.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
