@@ -55,7 +55,7 @@ STEMS = range(4, 9)
 #: Of two candidates of which one begins the other, the worthier stands for both if their toxic rows are so nearly as many.
 ALIKE = 0.8
 #: Words a worker remembers before it forgets them all.
-REMEMBERED = 150_000
+REMEMBERED = 500_000
 
 
 def codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +205,8 @@ class Known:
 
     def __init__(self, marks: Landmarks):
         self.marks, self.at = marks, {}
-        self.table, self.n = np.zeros((1024, len(marks.names)), np.float32), 0
+        # as large as it gets as a rule, so that it need not be copied; memory is taken when it is written
+        self.table, self.n = np.zeros((REMEMBERED * 5 // 4, len(marks.names)), np.float32), 0
 
     def learn(self, new: list[str]) -> None:
         self.at.update(dict.fromkeys(new, -1))
