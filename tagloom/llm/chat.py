@@ -17,8 +17,10 @@ offsets come from a range-partitioned sort and the sums of its partitions, so no
 one task.
 
 Defined cases: null texts and roles count as empty; rows of one conversation and turn are ordered
-by role and text; repeated rows are turns like others; a null conv_id is a conversation; an empty
-table gives no rows.
+by role and text; repeated rows are turns like others; a null conv_id is a conversation; rows of a
+conversation -1 in the table come before or between those that the query adds, by turn; one
+conversation is read by one task, a turn at a time, whatever its length; other columns are
+ignored; an empty table gives no rows (the query: those of conversation -1).
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import stored
+from tagloom.llm.common import split_join, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -119,7 +121,10 @@ def _paths(members: DataFrame, kids: DataFrame, kind: str) -> DataFrame:
                 paths.append(path)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(paths, pa.string())], names=["node", "path"])
 
-    rows = members.join(kids, "parent").select("conv_id", "idx", "node", "kids").repartition("conv_id").sortWithinPartitions("conv_id", "idx")
+    # first turns (all have the parent "") begin a path anyway, and need no number of siblings
+    later = split_join(members.filter("idx > 0"), kids, "parent", "conv_id").select("conv_id", "idx", "node", "kids")
+    first = members.filter("idx = 0").select("conv_id", "idx", "node", F.lit(0).cast("long").alias("kids"))
+    rows = later.unionByName(first).repartition("conv_id").sortWithinPartitions("conv_id", "idx")
     return rows.mapInArrow(work, "node string, path string").dropDuplicates(["node"])
 
 
@@ -205,7 +210,7 @@ def read_back(nodes: DataFrame, members: DataFrame, vocabulary: str = VOCABULARY
         if state is not None:
             yield pa.RecordBatch.from_arrays(row(state), names=names)
 
-    rows = members.join(nodes.select("node", "tokens", "loss_from", "loss_to"), "node").select("conv_id", "idx", "tokens", "loss_from", "loss_to")
+    rows = split_join(members, nodes.select("node", "tokens", "loss_from", "loss_to"), "node", "conv_id").select("conv_id", "idx", "tokens", "loss_from", "loss_to")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "idx")
     return rows.mapInArrow(work, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
