@@ -19,6 +19,8 @@ SLICE_BYTES = 1 << 20
 #: A word is a run of characters other than these (the contract's `[^\x20\x09-\x0D]+`).
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Words of 64 bits that a sieve broadcasts at most.
+SIEVE_WORDS = 1 << 18
 
 _U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -195,6 +197,19 @@ def split_join(left: DataFrame, right: DataFrame, key: str, spread: str, shares:
     return one.join(other, [key, "__part"]).drop("__part")
 
 
+def sieve(rows: DataFrame, by: Column, found: DataFrame, among: Column, words: int = SIEVE_WORDS) -> DataFrame:
+    """The rows whose hash `by` may be among the hashes `among` of `found`, without moving them.
+
+    What is broadcast is a table of bits, one for each remainder of a hash, of a size that doesn't
+    grow with `found`.  No row is lost; of the others as many stay as the share of bits that are set.
+    """
+    word = lambda h: F.pmod(h, F.lit(words))
+    bit = lambda h: F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
+    bits = found.select(word(among).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(among)).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = rows.withColumn("__hash", by).withColumn("__word", word(F.col("__hash")))
+    return marked.join(F.broadcast(bits), "__word").filter(F.getbit("__bits", bit(F.col("__hash"))) == 1).select(*rows.columns)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import VALUES_LOWER, forget, mix64, span_hashes, split_join, stored, text_slices, words
+from tagloom.llm.common import VALUES_LOWER, forget, mix64, sieve, span_hashes, split_join, stored, text_slices, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -277,12 +277,13 @@ def _buckets(classes: DataFrame) -> DataFrame:
 def _candidate_sets(rows: DataFrame, texts: DataFrame, buckets: DataFrame) -> DataFrame:
     """Full sets of the texts that share a bucket, written once; read from the row of the smallest id.
 
-    The table of ids is small only as long as few texts have near copies: the planner sees its size
-    and sends it to every executor or deals both sides by text.
+    Rows pass a sieve where they are read, so texts are never dealt out, however many ids there are;
+    sets of rows that passed by chance go at the end.
     """
     ids = stored(buckets.select("rep").distinct().join(texts.select(F.col("node").alias("rep"), "copy_of"), "rep"))
-    some = rows.join(ids, (F.col("node") == F.col("rep")) & F.col("id").eqNullSafe(F.col("copy_of")), "left_semi")
-    return stored(_full_sets(some.select(F.col("node").alias("id"), "text")).dropDuplicates(["id"]))
+    some = sieve(rows, F.xxhash64("node", "id"), ids, F.xxhash64("rep", "copy_of"))
+    sets = _full_sets(some.select(F.col("node").alias("id"), "text")).dropDuplicates(["id"])
+    return stored(sets.join(ids.select(F.col("rep").alias("id")), "id", "left_semi"))
 
 
 def _open_links(buckets: DataFrame, found: DataFrame, sets: DataFrame, least: float) -> DataFrame:

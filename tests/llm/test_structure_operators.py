@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.llm import chat, decontam, fingerprint, minhash, mixing
-from tagloom.llm.common import text_slices
+from tagloom.llm.common import sieve, text_slices
 
 from .conftest import LONG, SF
 
@@ -201,6 +201,38 @@ def test_repeated_rows_and_empty_tables(spark, docs):
     assert minhash.dedup_report(df.limit(0)).count() == 0
 
 
+def test_texts_are_not_dealt_out(spark, docs, monkeypatch):
+    """No exchange carries texts, also where the planner finds the table of candidate ids large."""
+    plans, keep = [], minhash.stored
+
+    def stored(df):
+        plans.append(df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        return keep(df)
+
+    monkeypatch.setattr(minhash, "stored", stored)
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = np.random.default_rng(11)
+        base = sentence(rng, 60)
+        rows = minhash.dedup_report(docs(base, base + " more", sentence(rng, 60), base)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert [r.class_id for r in sorted(rows)] == [0, 0, 2, 0]
+    carried = [m for plan in plans for m in re.findall(r"\) Exchange\b[^\n]*\nInput \[\d+\]: \[([^\n]*)\]", plan)]
+    assert len(carried) > 10 and not [x for x in carried if re.search(r"\btext#", x)]
+
+
+@pytest.mark.parametrize("words", [1, 1 << 10])
+def test_a_sieve_loses_no_row(spark, words):
+    rows = spark.range(-500, 4500).selectExpr("id", "if(id % 7 = 0, null, id) AS other", "'t' AS text")
+    found = rows.filter("id % 50 = 0").selectExpr("id AS a", "other AS b")
+    kept = sieve(rows, F.xxhash64("id", "other"), found, F.xxhash64("a", "b"), words)
+    ids = {r.id for r in kept.collect()}
+    assert kept.columns == rows.columns and kept.count() == len(ids)
+    assert {x for x in range(-500, 4500) if x % 50 == 0} <= ids and len(ids) < (4500 if words == 1 else 150)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(5)
     base = [f"w{x}" for x in rng.integers(0, 900, 3000)]
