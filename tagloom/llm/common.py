@@ -7,6 +7,8 @@ temporary arrays stay bounded; one text longer than that makes one slice.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -38,6 +40,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Hands freed memory back to the machine.
+
+    Spark's workers outlive their tasks, and would otherwise keep it beside stages that need no Python.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def byte_values(lower: bool, seed: int = 7) -> np.ndarray:
     """256 odd-looking 64-bit values, one per byte; with `lower`, A-Z share those of a-z."""
     values = mix64(np.arange(1, 257, dtype=_U64) * _U64(0xD1342543DE82EF95) + _U64(seed))

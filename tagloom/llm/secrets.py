@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import boundaries, text_slices
+from tagloom.llm.common import boundaries, give_back, text_slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -177,6 +177,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
                         pieces += [text[at:a], mark]
                         at = b
                     out.iloc[lo + i] = "".join([*pieces, text[at:]])
+        give_back()
         return out
 
     new = docs.withColumn(text_col, clean(F.col(text_col)))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import remainder, stored, text_slices, words
+from tagloom.llm.common import give_back, remainder, stored, text_slices, words
 from tagloom.llm.quality import training_sample
 
 ORDER = 3
@@ -54,8 +54,10 @@ MIN_LETTERS, MAX_LETTERS = 4, 20
 STEMS = range(4, 9)
 #: Of two candidates of which one begins the other, the worthier stands for both if their toxic rows are so nearly as many.
 ALIKE = 0.8
-#: Words a worker remembers before it forgets them all.
-REMEMBERED = 500_000
+#: Words a task remembers before it forgets those that are rare; 0.4 KB each.
+REMEMBERED = 200_000
+#: Bytes of text whose units are held at once.
+SLICE = 1 << 18
 
 
 def codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +103,7 @@ def places(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (DECAY ** (at[:, -1] - at[:, 0] + 1.0)).astype(np.float32)
 
 
-def subsequences(matrix: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 18):
+def subsequences(matrix: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 14):
     """(rows, a number for each row's subsequences, their DECAY ** span) of rows of one length."""
     for n in np.unique(lengths):
         at, weight = places(int(n))
@@ -201,25 +203,46 @@ class Landmarks:
 
 
 class Known:
-    """The values of the words a worker has met."""
+    """The values of the words a task has met, and in how many rows since others were forgotten."""
 
     def __init__(self, marks: Landmarks):
-        self.marks, self.at = marks, {}
+        self.marks, self.at, self.n = marks, {}, 0
+        self.clear_table()
+
+    def clear_table(self) -> None:
         # as large as it gets as a rule, so that it need not be copied; memory is taken when it is written
-        self.table, self.n = np.zeros((REMEMBERED * 5 // 4, len(marks.names)), np.float32), 0
+        self.table, self.met = np.zeros((REMEMBERED, len(self.marks.names)), np.float32), np.zeros(REMEMBERED, np.int32)
+
+    def forget(self) -> None:
+        """Keeps the words met in two rows or more, of too many the half of REMEMBERED met most."""
+        kept = np.flatnonzero(self.met[: self.n] > 1)
+        if len(kept) > REMEMBERED // 2:
+            kept = np.sort(kept[np.argsort(-self.met[kept], kind="stable")[: REMEMBERED // 2]])
+        place = np.full(self.n + 1, -1, np.int64)  # the last one is that of words without a value
+        place[kept] = np.arange(len(kept))
+        place = place.tolist()
+        self.at = {w: place[a] for w, a in self.at.items() if place[a] >= 0}
+        old = self.table
+        if len(old) > REMEMBERED:
+            self.clear_table()
+        for a in range(0, len(kept), 4096):  # a kept row never moves up
+            self.table[a : a + 4096][: len(kept) - a] = old[kept[a : a + 4096]]
+        self.n = len(kept)
+        self.met[:] = 0
 
     def learn(self, new: list[str]) -> None:
         self.at.update(dict.fromkeys(new, -1))
         unit, found = self.marks.rows([unit_of(w) for w in new])
         if self.n + len(found) > len(self.table):
-            self.table = np.concatenate([self.table[: self.n], np.zeros((max(len(found), self.n // 2), found.shape[1]), np.float32)])
-        for u, x in zip(unit.tolist(), found, strict=True):
-            if (at := self.at[new[u]]) >= 0:
-                np.maximum(self.table[at], x, out=self.table[at])
-            else:
-                self.at[new[u]] = self.n
-                self.table[self.n] = x
-                self.n += 1
+            more = max(len(found), self.n // 2)
+            self.table = np.concatenate([self.table[: self.n], np.zeros((more, found.shape[1]), np.float32)])
+            self.met = np.concatenate([self.met[: self.n], np.zeros(more, np.int32)])
+        if len(unit) == 0:
+            return
+        first = np.flatnonzero(np.append(True, np.diff(unit) > 0))  # a unit's values follow each other
+        self.table[self.n : self.n + len(first)] = np.maximum.reduceat(found, first, axis=0)
+        self.at.update(zip([new[u] for u in unit[first].tolist()], range(self.n, self.n + len(first)), strict=True))
+        self.n += len(first)
 
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’…–—"
@@ -251,10 +274,9 @@ def units_by_row(data: np.ndarray, offsets: np.ndarray) -> list[set[str]]:
 def pooled(rows: list[set[str]], known: Known) -> np.ndarray:
     """Highest kernel value of each row's units against each landmark.  `known` is filled."""
     new = set().union(*rows).difference(known.at) if rows else set()
-    if new and len(known.at) > REMEMBERED:
-        known.at.clear()
-        known.n = 0
-        new = set().union(*rows)
+    if new and len(known.at) + len(new) > REMEMBERED:
+        known.forget()
+        new = set().union(*rows).difference(known.at)
     if new:
         known.learn(list(new))
     out = np.zeros((len(rows), len(known.marks.names)))
@@ -262,6 +284,7 @@ def pooled(rows: list[set[str]], known: Known) -> np.ndarray:
         at = [a for w in row if (a := known.at[w]) >= 0]
         if at:
             out[i] = known.table[at].max(axis=0)
+            known.met[at] += 1
     return out
 
 
@@ -272,13 +295,14 @@ def choose_landmarks(training: DataFrame, most: int = LANDMARKS) -> list[str]:
         for batch in batches:
             labels, seen = batch.column(0).to_pylist(), {}
             row = 0
-            for lo, data, offsets in text_slices(batch.column(1)):
+            for lo, data, offsets in text_slices(batch.column(1), SLICE):
                 for units in units_by_row(data, offsets):
                     plain = {w for u in units if MIN_LETTERS <= len(w := unit_of(u)) <= MAX_LETTERS and w.isalpha()}
                     for w in plain.union(w[:n] for w in plain for n in STEMS if n < len(w)):
                         seen.setdefault(w, [0, 0])[labels[row]] += 1
                     row += 1
             yield pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.string()), "clean": pa.array([v[0] for v in seen.values()], pa.int64()), "toxic": pa.array([v[1] for v in seen.values()], pa.int64())})
+        give_back()
 
     n = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
     if not (n.get(0) and n.get(1)):
@@ -347,9 +371,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     def describe(batches):
         known = Known(marks)
         for batch in batches:
-            x = [np.zeros((0, len(names)))] + [pooled(units_by_row(data, offsets), known) for _, data, offsets in text_slices(batch.column(2))]
+            x = [np.zeros((0, len(names)))] + [pooled(units_by_row(data, offsets), known) for _, data, offsets in text_slices(batch.column(2), SLICE)]
             x = np.concatenate(x).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
+        del known
+        give_back()
 
     rows = sorted(training.mapInArrow(describe, "doc_id long, label int, x binary").collect(), key=lambda r: (r["doc_id"], r["label"]))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64)
@@ -362,19 +388,25 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
 
 def score_toxicity(docs: DataFrame, model: dict | None, id_cols: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`id_cols` of each row and, last, `score_col`."""
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(id_cols)], F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(id_cols)])
     if model is None:
-        return rows.withColumn("text", F.lit(0.0)).toDF(*id_cols, score_col)
+        return rows.withColumn("score", F.lit(0.0)).toDF(*id_cols, score_col)
+    # a text that is kept is sent to the workers once
+    kept, text = len(id_cols), id_cols.index(text_col) if text_col in id_cols and docs.schema[text_col].dataType.simpleString() == "string" else len(id_cols)
+    if text == kept:
+        rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(id_cols)], F.col(text_col).cast("string").alias("text"))
 
     def score(batches):
         known = Known(Landmarks(model["names"], BEGIN))
         for batch in batches:
             found = [np.zeros(0)]
-            for _, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
+            for _, data, offsets in text_slices(batch.column(text), SLICE):
                 x = pooled(units_by_row(data, offsets), known)
                 found.append(x @ model["weights"] + model["nearest"] * x.max(axis=1) + model["bias"])
             p = 1 / (1 + np.exp(-np.clip(model["slope"] * np.concatenate(found) + model["offset"], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(p)], names=[*batch.schema.names[:kept], "score"])
+        del known
+        give_back()
 
     kinds = ", ".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(id_cols)))
     return rows.mapInArrow(score, f"{kinds}, score double").toDF(*id_cols, score_col)

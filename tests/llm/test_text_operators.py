@@ -362,3 +362,35 @@ def test_random_letters_are_found(spark, docs):
     assert sum(r.n_random for r in rows) > 0.97 * len(made)
     names = ("get_user_name_by_id2", "path/to/some/other/file1", "incomprehensibilities", "InternationalizationSupport", "2024-01-01/2024-12-31")
     assert not any(secrets.looks_random(w) for w in names)
+
+
+def test_remembered_words_are_bounded_and_frequent_ones_stay(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 40)
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdeimnorstu"), 7))
+    marks = toxicity.Landmarks(["idiot", "moron"], toxicity.BEGIN)
+    known = toxicity.Known(marks)
+    slices = [[{"idiotic", "moronic", word()}, {"idiotic", "moronic", "12", *(word() for _ in range(5))}, set()] for _ in range(40)]
+    slices.insert(20, [{"idiotic", *(word() for _ in range(100))}])
+    for n, rows in enumerate(slices):
+        got = toxicity.pooled(rows, known)
+        assert np.array_equal(got, toxicity.pooled(rows, toxicity.Known(marks)))
+        assert n == 20 or len(known.at) <= 40 == len(known.table)
+        if n not in (20, 21):
+            before = dict(known.at)
+            known.forget()
+            assert {"idiotic", "moronic"} <= known.at.keys() <= before.keys()
+
+
+def test_a_kept_text_is_sent_to_workers_once(docs):
+    df = docs("you krzugaeio", "one two", None, extra=True)
+    model = {"names": ["krzug"], "weights": np.array([2.0]), "nearest": 0.5, "bias": -1.0, "slope": 1.0, "offset": 0.0}
+    out = toxicity.score_toxicity(df, model, df.columns, score_col="__score")
+    node = out._jdf.queryExecution().analyzed()
+    while node.nodeName() != "MapInArrow":
+        node = node.children().head()
+    assert node.children().head().output().size() == len(df.columns)
+    alone = {r.doc_id: r["__score"] for r in toxicity.score_toxicity(df, model, ["doc_id"], score_col="__score").collect()}
+    rows = out.orderBy("doc_id").collect()
+    assert out.columns == [*df.columns, "__score"] and [r["__score"] for r in rows] == [alone[i] for i in range(3)]
+    assert [r.text for r in rows] == ["you krzugaeio", "one two", None] and rows[0]["__score"] > rows[1]["__score"] == rows[2]["__score"]
