@@ -120,17 +120,32 @@ def subsequences(matrix: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 14
             yield some, key, weight
 
 
-def self_kernel(matrix: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The kernel of each row with itself before it is normalised."""
-    out = np.full(len(matrix), 1e-12)
-    for rows, key, weight in subsequences(matrix, lengths):
-        order = np.argsort(key, axis=1)
-        key = np.take_along_axis(key, order, axis=1)
-        new = np.ones(key.shape, bool)
-        new[:, 1:] = key[:, 1:] != key[:, :-1]
-        first = np.flatnonzero(new.ravel())
-        total = np.add.reduceat(weight[order].ravel(), first)
-        out[rows] = np.bincount(first // key.shape[1], total.astype(np.float64) ** 2, minlength=len(rows))
+def self_kernel(matrix: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 17) -> np.ndarray:
+    """The kernel of each row with itself before it is normalised.
+
+    The steps of `raw_kernel` over rows of one length, one text after the other and a whole plane a step.
+    Sums run in one order, so that a row's value doesn't depend on the rows beside it.
+    """
+    out, decay = np.full(len(matrix), 1e-12), np.float32(DECAY)
+    for n in np.unique(lengths[lengths >= ORDER]).tolist():
+        every = np.flatnonzero(lengths == n)
+        step = max(1, at_once // n**2)
+        for a in range(0, len(every), step):
+            x = np.ascontiguousarray(matrix[every[a : a + step], :n].T)  # rows last, as in `raw_kernel`
+            match = (x[:, None] == x[None]).astype(np.float32)
+            match *= decay * decay
+            got = match
+            for _ in range(ORDER - 1):
+                inner = np.zeros_like(got)
+                for i in range(1, n):
+                    np.multiply(inner[i - 1], decay, out=inner[i])
+                    inner[i] += got[i - 1]
+                got = np.zeros_like(inner)
+                for j in range(1, n):
+                    np.multiply(got[:, j - 1], decay, out=got[:, j])
+                    got[:, j] += inner[:, j - 1]
+                got *= match
+            out[every[a : a + step]] = sum(sum(got), np.zeros(x.shape[1]))
     return out
 
 
@@ -155,6 +170,11 @@ class Landmarks:
         self.row[used] = np.arange(len(used))
         table = np.bincount(at * len(names) + marks, weights, minlength=len(used) * len(names)).reshape(len(used), len(names))
         self.table = (table / np.sqrt(np.maximum((table**2).sum(axis=0), 1e-12))).astype(np.float32)
+        # a subsequence is in few landmarks: those of the k-th are mark[start[k] : start[k] + count[k]]
+        k, self.mark = np.nonzero(self.table)
+        self.share = self.table[k, self.mark]
+        self.count = np.bincount(k, minlength=len(used))
+        self.start = np.cumsum(self.count) - self.count
 
     def rows(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The units with a value that isn't 0, and their values at all landmarks.  A unit's best window and reading count."""
@@ -172,11 +192,14 @@ class Landmarks:
             matrix, lengths = codes(parts[a : a + 4096])
             found = np.zeros((len(matrix), len(self.names)), np.float32)
             for rows, key, weight in subsequences(matrix, lengths):
-                at = self.row[key]
-                r, t = np.nonzero(at >= 0)
-                if len(r):
-                    first = np.flatnonzero(np.append(True, np.diff(r) > 0))
-                    found[rows[r[first]]] = np.add.reduceat(self.table[at[r, t]] * weight[t, None], first, axis=0)
+                at = self.row[key].ravel()
+                hit = np.flatnonzero(at >= 0)
+                at, r = at[hit], hit // len(weight)
+                n, w = self.count[at], weight[hit - r * len(weight)]
+                ends = np.cumsum(n)
+                one = np.arange(n.sum()) + np.repeat(self.start[at] - ends + n, n)
+                cell = np.repeat(r * len(self.names), n) + self.mark[one]
+                found[rows] = np.bincount(cell, np.repeat(w, n) * self.share[one], len(rows) * len(self.names)).reshape(len(rows), len(self.names))
             any_ = np.flatnonzero(found.any(axis=1))
             found = found[any_] / np.sqrt(self_kernel(matrix[any_], lengths[any_]))[:, None].astype(np.float32)
             unit = of[a + any_]
@@ -281,8 +304,9 @@ def pooled(rows: list[set[str]], known: Known) -> np.ndarray:
         known.learn(list(new))
     out = np.zeros((len(rows), len(known.marks.names)))
     for i, row in enumerate(rows):
-        at = [a for w in row if (a := known.at[w]) >= 0]
-        if at:
+        at = np.fromiter(map(known.at.__getitem__, row), np.int64, len(row))
+        at = at[at >= 0]
+        if len(at):
             out[i] = known.table[at].max(axis=0)
             known.met[at] += 1
     return out

@@ -394,3 +394,44 @@ def test_a_kept_text_is_sent_to_workers_once(docs):
     rows = out.orderBy("doc_id").collect()
     assert out.columns == [*df.columns, "__score"] and [r["__score"] for r in rows] == [alone[i] for i in range(3)]
     assert [r.text for r in rows] == ["you krzugaeio", "one two", None] and rows[0]["__score"] > rows[1]["__score"] == rows[2]["__score"]
+
+
+def test_kernel_costs_less_than_all_landmarks_for_each_subsequence():
+    import time
+
+    rng = np.random.default_rng(3)
+    word = lambda a, b: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(a, b)))
+    marks = toxicity.Landmarks([word(4, 13) for _ in range(64)], toxicity.BEGIN)
+    units = [word(3, 24) for _ in range(3000)] + ["aaa", "banana", "é" * 9]
+
+    def plain():
+        matrix, lengths = toxicity.codes([toxicity.BEGIN + u for u in units])
+        found, own = np.zeros((len(units), 64)), np.zeros(len(units))
+        for rows, key, weight in toxicity.subsequences(matrix, lengths):
+            at = marks.row[key]
+            r, t = np.nonzero(at >= 0)
+            if len(r):
+                first = np.flatnonzero(np.append(True, np.diff(r) > 0))
+                found[rows[r[first]]] = np.add.reduceat(marks.table[at[r, t]] * weight[t, None], first, axis=0)
+            order = np.argsort(key, axis=1)
+            key = np.take_along_axis(key, order, axis=1)
+            new = np.ones(key.shape, bool)
+            new[:, 1:] = key[:, 1:] != key[:, :-1]
+            first = np.flatnonzero(new.ravel())
+            own[rows] = np.bincount(first // key.shape[1], np.add.reduceat(weight[order].ravel(), first).astype(float) ** 2, minlength=len(rows))
+        return found / np.sqrt(own)[:, None], own
+
+    def timed(f):
+        start = time.process_time()
+        return f(), time.process_time() - start
+
+    (expected, own), old = min((timed(plain) for _ in range(3)), key=lambda x: x[1])
+    (unit, value), new = min((timed(lambda: marks.rows(units)) for _ in range(3)), key=lambda x: x[1])
+    got = np.zeros_like(expected)
+    got[unit] = value
+    assert np.allclose(got, expected, rtol=1e-5, atol=1e-7) and ((got > 0) == (expected > 0)).all()
+    matrix, lengths = toxicity.codes([toxicity.BEGIN + u for u in units])
+    at_once = toxicity.self_kernel(matrix, lengths)
+    assert np.allclose(at_once, own, rtol=1e-5)
+    assert all(toxicity.self_kernel(matrix[i : i + 1], lengths[i : i + 1])[0] == at_once[i] for i in range(2900, 3003))
+    assert new < 0.7 * old
