@@ -11,8 +11,9 @@ answer, its last sentence.
 
 The benchmark is the query set; it is searched in blocks of BLOCK passages or BLOCK_WORDS words,
 one scan of the documents each.  Words are compared in lower case (A-Z) without outer punctuation.
-A candidate around which too few of the item's words occur at all can't hold a long enough
-subsequence and is dropped unread; that changes no result.
+A candidate around which too few of the item's words occur at all, or in order, is dropped before it is
+read: first by signatures of the words in each stretch, then by the words, then by the longest
+common subsequence of many candidates side by side.  That changes no result.
 
 Defined cases: null and empty texts match nothing on either side; null ids are ids like others;
 an empty table on either side gives no rows; of windows that tie for an item, the first counts;
@@ -44,6 +45,8 @@ BLOCK, BLOCK_WORDS = 16384, 1 << 20
 SLICE = 1 << 18
 #: Cosines held at a time, and words of candidates looked at at a time.
 DENSE, FLAT = 1 << 21, 1 << 20
+#: Bits of a signature, and the stretches on each side of a window that it is made for.
+SIGNATURE, REACH = 512, 8
 
 _WORDLIKE = np.zeros(256, bool)
 _WORDLIKE[48:58] = _WORDLIKE[65:91] = _WORDLIKE[97:123] = _WORDLIKE[128:] = True
@@ -54,13 +57,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts, ends, bounds = words(data, offsets)
     if len(starts) == 0:
         return np.zeros(0, np.uint64), bounds
-    place = np.where(_WORDLIKE[data], np.arange(len(data)), -1)
-    last = np.maximum.accumulate(place)
-    nxt = np.where(_WORDLIKE[data], np.arange(len(data)), len(data))[::-1]
-    first = np.minimum.accumulate(nxt)[::-1]
-    a, b = first[starts], last[ends - 1] + 1
-    none = a >= ends
-    return span_hashes(data, np.where(none, starts, a), np.where(none, ends, b), VALUES_LOWER), bounds
+    like = np.flatnonzero(_WORDLIKE[data])
+    a, b = starts.copy(), ends.copy()
+    left, right = np.flatnonzero(~_WORDLIKE[data[starts]]), np.flatnonzero(~_WORDLIKE[data[ends - 1]])
+    a[left] = np.append(like, len(data))[np.searchsorted(like, starts[left])]
+    b[right] = np.append(-1, like)[np.searchsorted(like, ends[right])] + 1
+    none = left[a[left] >= ends[left]]
+    a[none], b[none] = starts[none], ends[none]
+    return span_hashes(data, a, b, VALUES_LOWER), bounds
 
 
 def buckets_of(h: np.ndarray) -> np.ndarray:
@@ -96,11 +100,14 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
     def count(batches):
         total, n = np.zeros(1 << BITS), 0
         for batch in batches:
-            for _, data, offsets in text_slices(batch.column(0)):
+            for _, data, offsets in text_slices(batch.column(0), SLICE):
                 h, bounds = word_hashes(data, offsets)
-                row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-                key = np.unique(row << BITS | buckets_of(h))
-                total += np.bincount(key & ((1 << BITS) - 1), minlength=1 << BITS)
+                kind = np.uint32 if len(offsets) <= 1 << 32 - BITS else np.uint64  # short numbers sort faster
+                key = np.repeat(np.arange(len(offsets) - 1, dtype=kind) << kind(BITS), np.diff(bounds)) | buckets_of(h).astype(kind)
+                key.sort()
+                new = np.ones(len(key), bool)
+                new[1:] = key[1:] != key[:-1]
+                total += np.bincount((key[new] & kind((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
                 n += len(offsets) - 1
         parts = [np.append(p, n / slots).tobytes() for p in np.split(total, slots)]
         yield pa.RecordBatch.from_arrays([pa.array(range(slots), pa.int32()), pa.array([int(total.sum()) % 9973] * slots, pa.int32()), pa.array(parts, pa.binary())], names=["slot", "part", "data"])
@@ -276,50 +283,111 @@ class _Passages:
         self.need = np.minimum(whole, part)
         numbers: dict = {}
         self.item = np.array([numbers.setdefault(id(x[3]), len(numbers)) for x in listed], np.int64)
-        keys, local, times, seen = [], [], [], set()
-        for i, k in zip(self.item.tolist(), kinds, strict=True):
-            if i not in seen:
-                seen.add(i)
-                word, n = np.unique(k, return_counts=True)
-                keys.append(i * np.int64(self.none + 1) + word)
-                local.append(np.arange(len(word)))
-                times.append(n)
-        keys, self.local, self.times = np.concatenate(keys), np.concatenate(local), np.concatenate(times).astype(np.int32)
-        order = np.argsort(keys)
-        self.keys, self.local, self.times = keys[order], self.local[order], self.times[order]
-        self.widest = int(self.local.max()) + 1
+        texts = {i: np.array(w, np.uint64) for i, (_, _, _, w, _) in zip(self.item.tolist(), listed, strict=True)}
+        self.words = np.unique(np.concatenate(list(texts.values())))
+        # the number of a word by its class; several words of a class are told apart by their hashes
+        self.guess = np.zeros(self.none + 1, np.int64)
+        self.guess[column[buckets_of(self.words)]] = np.arange(len(self.words))
+        self.item_need = np.full(len(numbers), 1 << 40, np.int64)
+        np.minimum.at(self.item_need, self.item, self.need)
+        self.item_length = np.array([len(texts[i]) for i in range(len(numbers))], np.int64)
+        keys, times, marks = [], [], []
+        for i in range(len(numbers)):
+            word, at, n = np.unique(np.searchsorted(self.words, texts[i]), return_inverse=True, return_counts=True)
+            keys.append(i * np.int64(len(self.words)) + word)
+            times.append(n)
+            bits = np.zeros(len(word), np.uint64)
+            if len(at) <= 64:
+                np.bitwise_or.at(bits, at, np.uint64(1) << np.arange(len(at), dtype=np.uint64))
+            marks.append(bits)
+        self.keys, self.times, self.places = np.concatenate(keys), np.concatenate(times), np.concatenate(marks)
         # a filter before the search in `keys`: most words of a text are not the item's
         bits = max(16, int(len(self.keys) * 32).bit_length())
         self.mask = np.uint32((1 << bits) - 1)
         rng = np.random.default_rng(5)
-        self.word_mix = rng.integers(0, 1 << 32, self.none + 1, np.uint32)
+        self.word_mix = rng.integers(0, 1 << 32, len(self.words), np.uint32)
         self.item_mix = rng.integers(0, 1 << 32, len(numbers), np.uint32)
+        item, word = np.divmod(self.keys, len(self.words))
         self.filter = np.zeros(1 << bits, bool)
-        self.filter[(self.word_mix[self.keys % (self.none + 1)] ^ self.item_mix[self.keys // (self.none + 1)]) & self.mask] = True
+        self.filter[(self.word_mix[word] ^ self.item_mix[item]) & self.mask] = True
+        self.signatures = signed(item, self.word_mix[word], len(numbers))
+        # words of an item that its signature doesn't show, and stretches that they may lie beside a window
+        self.hidden = self.item_length - np.bitwise_count(self.signatures).sum(axis=1, dtype=np.int64)
+        self.reach = -(-self.item_length // STRIDE)
         self.marks = [(_marks(w), _marks(w[s:e]), _marks(w[a:])) for _, s, e, w, a in listed]
 
-    def enough(self, kind: np.ndarray, mixed: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Of pairs of a passage j and words a..b, those in which enough of the item's words occur at all."""
+    def numbered(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The number of each word of the block's items, -1 for others."""
+        out = self.guess[kind]
+        other = np.flatnonzero(self.words[out] != h)
+        at = np.minimum(np.searchsorted(self.words, h[other]), len(self.words) - 1)
+        out[other] = np.where(self.words[at] == h[other], at, -1)
+        return out
+
+    def likely(self, stretches: np.ndarray, window: np.ndarray, pair: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Of pairs of a window (its number in `window`, stretches of words) and an item, those whose signatures share enough."""
+        keep = self.reach[item] > REACH  # too long for a signature
+        around = None
+        for r in range(REACH + 1):
+            for at in (window - r, window + 1 + r):
+                more = stretches[np.clip(at, 0, len(stretches) - 1)]
+                around = more if around is None else around | more
+            some = np.flatnonzero(self.reach[item] == r)
+            if len(some):
+                i = item[some]
+                common = np.bitwise_count(around[pair[some]] & self.signatures[i]).sum(axis=1, dtype=np.int64)
+                keep[some] = common + self.hidden[i] >= self.item_need[i]
+        return np.flatnonzero(keep)
+
+    def enough(self, word: np.ndarray, mixed: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of an item and words a..b, those in which enough of the item's words occur, in order if it has 64 at most."""
         out = []
         ends = np.cumsum(b - a)
         lo = 0
-        while lo < len(j):
+        while lo < len(item):
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + FLAT, "right")))
-            x, size, item = a[lo:hi], (b - a)[lo:hi], self.item[j[lo:hi]]
+            x, size, own = a[lo:hi], (b - a)[lo:hi], item[lo:hi]
             before = np.cumsum(size) - size
             at = np.repeat(x - before, size) + np.arange(size.sum())
-            maybe = np.flatnonzero(self.filter[(mixed[at] ^ np.repeat(self.item_mix[item], size)) & self.mask])
+            maybe = np.flatnonzero(self.filter[(mixed[at] ^ np.repeat(self.item_mix[own], size)) & self.mask])
             pair = np.searchsorted(before, maybe, "right") - 1
-            key = item[pair] * np.int64(self.none + 1) + kind[at[maybe]]
+            key = own[pair] * np.int64(len(self.words)) + word[at[maybe]]
             slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = np.flatnonzero(self.keys[slot] == key)
-            found = np.zeros((hi - lo, self.widest), np.int32)
-            found[pair[hit], self.local[slot[hit]]] = self.times[slot[hit]]
-            out.append(lo + np.flatnonzero(found.sum(axis=1) >= self.need[j[lo:hi]]))
+            pair, slot = pair[hit], slot[hit]
+            each, n = np.unique(pair * np.int64(len(self.keys)) + slot, return_counts=True)
+            found = np.bincount(each // len(self.keys), np.minimum(n, self.times[each % len(self.keys)]), hi - lo)
+            keep = found >= self.item_need[own]
+            short = np.flatnonzero(keep & (self.item_length[own] <= 64))
+            first, last = np.searchsorted(pair, short), np.searchsorted(pair, short, "right")
+            keep[short] = lcs_many(self.places[slot], first, last - first, self.item_length[own[short]]) >= self.item_need[own[short]]
+            out.append(lo + np.flatnonzero(keep))
             lo = hi
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def signed(row: np.ndarray, mix: np.ndarray, rows: int) -> np.ndarray:
+    """SIGNATURE bits a row, in which each of its words sets one."""
+    bit = mix.astype(np.int64) % SIGNATURE
+    out = np.zeros(rows * (SIGNATURE // 64), np.uint64)
+    np.bitwise_or.at(out, row * (SIGNATURE // 64) + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out.reshape(rows, -1)
+
+
+def lcs_many(marks: np.ndarray, first: np.ndarray, n: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """`lcs` of many pairs side by side: the marks of a pair's words are marks[first:first + n]; length is 64 at most."""
+    order = np.argsort(-n, kind="stable")
+    first, n = first[order], n[order]
+    full = ~np.uint64(0) >> (64 - length[order]).astype(np.uint64)
+    s = full.copy()
+    for i, k in enumerate(np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), "left").tolist()):
+        u = s[:k] & marks[first[:k] + i]
+        s[:k] = (s[:k] + u) | (s[:k] - u)  # bits past the length never come back down
+    out = np.empty(len(order), np.int64)
+    out[order] = length[order] - np.bitwise_count(s & full)
+    return out
+
+
 def _searcher(queries, model, cosine: float):
     def search(batches):
         if not queries.value:
@@ -347,7 +415,7 @@ def _candidates(h, bounds, block: _Passages, cosine):
     """(row, [(first word of the window, passage, cosine)]) of rows with candidates.
 
     Candidates are windows whose cosine with a passage is high enough; of these the ones are left
-    out around which too few of the item's words occur for any subsequence to do.
+    out around which too few of the item's words occur, or occur in order.
     """
     n = np.diff(bounds)
     per = -(-n // STRIDE)
@@ -374,20 +442,36 @@ def _candidates(h, bounds, block: _Passages, cosine):
     length = np.sqrt(np.einsum("ij,ij->i", two, two))
     at = np.flatnonzero(use & (length > 1e-6))
     two = two[at] / length[at, None]
-    mixed = block.word_mix[kind]
-    before = np.concatenate([[0], np.cumsum(kind != block.none)])
+    number = block.numbered(h[used], kind[used])
+    mine = np.flatnonzero(number >= 0)
+    number, of, used = number[mine], of[mine], used[mine]
+    mixed = block.word_mix[number]
+    before = np.zeros(len(h) + 1, np.int64)
+    before[used + 1] = 1
+    before = np.cumsum(before)
+    stretches = signed(of, mixed, len(row))
     step = max(64, DENSE // max(1, len(block.listed)))
     hits: dict[int, list[tuple[int, int, float]]] = {}
     for lo in range(0, len(at), step):
         value = two[lo : lo + step] @ block.latent
         flat = np.flatnonzero(value.ravel() >= cosine)
-        i, j = flat // value.shape[1], flat % value.shape[1]
-        w = at[lo + i]
-        a, b = np.maximum(bounds[:-1][row[w]], start[w] - block.length[j]), np.minimum(bounds[1:][row[w]], start[w] + WINDOW + block.length[j])
-        some = np.flatnonzero(before[b] - before[a] >= block.need[j])
-        some = some[block.enough(kind, mixed, j[some], a[some], b[some])]
-        for x, y, v in zip(w[some].tolist(), j[some].tolist(), value.ravel()[flat[some]].tolist(), strict=True):
-            hits.setdefault(int(row[x]), []).append((int(nth[x]) * STRIDE, y, v))
+        i, j = np.divmod(flat, value.shape[1])
+        # passages of an item follow each other, so pairs of window and item do too
+        code = i * np.int64(len(block.item_need)) + block.item[j]
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
+        x, item = i[new], block.item[j[new]]
+        w = at[lo + x]
+        a, b = np.maximum(bounds[:-1][row[w]], start[w] - block.item_length[item]), np.minimum(bounds[1:][row[w]], start[w] + WINDOW + block.item_length[item])
+        a, b = before[a], before[b]
+        some = np.flatnonzero(b - a >= block.item_need[item])
+        some = some[block.likely(stretches, at[lo : lo + step], x[some], item[some])]
+        some = some[block.enough(number, mixed, item[some], a[some], b[some])]
+        keep = np.zeros(len(x), bool)
+        keep[some] = True
+        for f in np.flatnonzero(keep[np.cumsum(new) - 1]).tolist():
+            x = at[lo + i[f]]
+            hits.setdefault(int(row[x]), []).append((int(nth[x]) * STRIDE, int(j[f]), float(value.ravel()[flat[f]])))
     yield from hits.items()
 
 

@@ -348,6 +348,77 @@ def test_chat_round_trip_and_tree(spark, table):
     assert one.position_ids == list(range(one.position, one.position + len(one.tokens)))
 
 
+def test_many_subsequences_at_once_equal_single_ones():
+    rng = np.random.default_rng(4)
+    pairs = [(rng.integers(0, 9, n).tolist(), rng.integers(0, 12, m).tolist()) for n, m in [*rng.integers(1, 65, (60, 2)).tolist(), (64, 200), (64, 0), (1, 1)]]
+    marks = [[decontam._marks(mine).get(w, 0) for w in other] for mine, other in pairs]
+    n = np.array([len(x) for x in marks])
+    got = decontam.lcs_many(np.array([y for x in marks for y in x], np.uint64), np.cumsum(n) - n, n, np.array([len(mine) for mine, _ in pairs]))
+    assert got.tolist() == [decontam.lcs(mine, other) for mine, other in pairs]
+
+
+def made_block(items):
+    """A block of `items`, lists of word hashes, with a latent dimension for each word."""
+    known = np.unique(np.concatenate([np.array(w, np.uint64) for w in items]))
+    column = np.full(1 << decontam.BITS, -1, np.int32)
+    kinds = np.unique(decontam.buckets_of(known))
+    column[kinds] = np.arange(len(kinds))
+    weighted = np.vstack([np.eye(len(kinds)), np.zeros((1, len(kinds)))]).astype(np.float32)
+    listed = [(i, s, e, w, len(w) * 3 // 4) for i, w in enumerate(items) for s, e in decontam.windows_of(len(w))]
+    return decontam._Passages(listed, np.where(column >= 0, column, len(kinds)).astype(np.int32), weighted)
+
+
+def test_candidates_whose_words_come_in_another_order_are_not_read():
+    rng = np.random.default_rng(6)
+    item = rng.integers(0, 1 << 63, 40, np.uint64).tolist()
+    other = rng.integers(0, 1 << 63, 200, np.uint64).tolist()
+    texts = [other[:50] + item + other[50:], other[:50] + item[::-1] + other[50:], other]
+    h, bounds = np.array(sum(texts, []), np.uint64), np.cumsum([0, *map(len, texts)])
+    assert {row for row, _ in decontam._candidates(h, bounds, made_block([item]), 0.3)} == {0}
+
+
+def test_no_candidate_that_holds_an_item_is_lost():
+    """Items of all lengths, words that share a class, repeated words: what reading them all finds is found."""
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 1 << 63, 60, np.uint64)
+    words[30:] = words[:30] ^ np.uint64(1)  # other words of the same class
+    items = [rng.choice(words, n).tolist() for n in (6, 14, 30, 63, 64, 65, 90, 130, 400)]
+    texts = [rng.choice(words, 300).tolist() for _ in range(20)]
+    for i, w in enumerate(items):
+        texts[i] = texts[i][:100] + [x for x in w if rng.random() < 0.85] + texts[i][100:]
+    block = made_block(items)
+    h, bounds = np.array(sum(texts, []), np.uint64), np.cumsum([0, *map(len, texts)])
+    got = {(row, found[0]) for row, hits in decontam._candidates(h, bounds, block, 0.2) for found in decontam._checked(np.array(texts[row], np.uint64), hits, block)}
+    column, plain = block.column[decontam.buckets_of(h)], set()
+    for row, text in enumerate(texts):
+        kind = column[bounds[row] : bounds[row + 1]]
+        starts = range(0, max(1, len(text) - decontam.STRIDE), decontam.STRIDE)
+        vectors = np.array([block.weighted[kind[a : a + decontam.WINDOW]].sum(axis=0) for a in starts])
+        cosine = vectors @ block.latent / np.linalg.norm(vectors, axis=1, keepdims=True)
+        hits = [(starts[a], int(j), float(cosine[a, j])) for a, j in zip(*np.nonzero(cosine >= 0.2), strict=True)]
+        plain |= {(row, found[0]) for found in decontam._checked(np.array(text, np.uint64), hits, block)}
+    assert got == plain and {(i, i) for i in range(1, len(items))} <= got
+
+
+def test_words_lose_outer_punctuation():
+    raw = ['a "b" (c)... --- x-y', "", "\u00e9! ,z", "--- ... a"]
+    data = np.frombuffer("".join(raw).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in raw)])
+    plain = ["a", "b", "c", "---", "x-y", "\u00e9", "z", "---", "...", "a"]
+    flat = np.frombuffer("".join(plain).encode(), np.uint8)
+    ends = np.cumsum([len(t.encode()) for t in plain])
+    h, bounds = decontam.word_hashes(data, offsets)
+    assert bounds.tolist() == [0, 5, 5, 7, 10]
+    assert h.tolist() == decontam.span_hashes(flat, np.append(0, ends[:-1]), ends, decontam.VALUES_LOWER).tolist()
+
+
+def test_document_frequencies(spark, docs):
+    texts = ["a b a", "b", None, "", *["c a"] * 20_000]
+    got, n = decontam.document_frequencies(docs(*texts).coalesce(1), "text")
+    at = {w: int(decontam.buckets_of(decontam.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, 1]))[0])[0]) for w in "abc"}
+    assert n == len(texts) and [got[at[w]] for w in "abc"] == [20_001, 2, 20_000] and got.sum() == 40_003
+
+
 # -- fingerprints -------------------------------------------------------------------------------
 
 
