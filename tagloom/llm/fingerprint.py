@@ -48,8 +48,7 @@ for _i in range(255, 0, -1):
 
 def _lowest_bit(x: np.ndarray) -> np.ndarray:
     """Place of the lowest set bit of uint64 numbers above 0."""
-    low = x & (~x + _U(1))
-    return np.log2(low.astype(np.float64)).astype(np.uint8)
+    return np.bitwise_count(~x & (x - _U(1)))
 
 
 def _label(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -135,7 +134,11 @@ def sketches(data: np.ndarray, offsets: np.ndarray, keep: int = KEEP, level: int
         bounds = np.concatenate([[0], np.cumsum(sizes)])
     if not rows:
         return [np.zeros(0, np.uint32)] * n
-    key = np.unique(np.concatenate(rows).astype(_U) << _U(32) | np.concatenate(names))
+    key = np.concatenate(rows).astype(_U) << _U(32) | np.concatenate(names)
+    key.sort()  # `np.unique` hashes such numbers, which takes several times as long
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
     of = (key >> _U(32)).astype(np.int64)
     low = (key & _U(0xFFFFFFFF)).astype(np.uint32)
     edge = np.searchsorted(of, np.arange(n + 1))
