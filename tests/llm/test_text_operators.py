@@ -435,3 +435,34 @@ def test_kernel_costs_less_than_all_landmarks_for_each_subsequence():
     assert np.allclose(at_once, own, rtol=1e-5)
     assert all(toxicity.self_kernel(matrix[i : i + 1], lengths[i : i + 1])[0] == at_once[i] for i in range(2900, 3003))
     assert new < 0.7 * old
+
+
+def test_chains_are_carried_by_one_product_a_step():
+    """Products of stacks of small matrices took half of the training's time."""
+    seen = []
+
+    class Watched(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *inputs, **options):
+            if ufunc is np.matmul:
+                seen.append(max(np.ndim(x) for x in inputs))
+            options = {k: tuple(np.asarray(x) for x in v) if k == "out" else v for k, v in options.items()}
+            return getattr(ufunc, method)(*(np.asarray(x) for x in inputs), **options)
+
+    rng = np.random.default_rng(5)
+    start, t, e = hmm.start_model(9, np.full(9, 1 / 9), 3)
+    classes, bounds = rng.integers(0, 9, 1000), np.array([0, 700, 1000])
+    hmm.chain_counts(classes, bounds, (start, t.view(Watched), e))
+    assert seen and max(seen) == 2
+
+
+def test_words_hashed_in_pieces_equal_those_hashed_at_once(monkeypatch):
+    raw = ["", "A b  c", " ", "", "d" * 50, "e\u00e9 F\tg", "", "h"]
+    data = np.frombuffer("".join(raw).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(x.encode()) for x in raw)])
+    whole, bounds = hmm.word_hashes(data, offsets)
+    assert bounds.tolist() == [0, 0, 3, 3, 3, 4, 7, 7, 8]
+    for size in (1, 7, 20):
+        monkeypatch.setattr(hmm, "PIECE", size)
+        h, b = hmm.word_hashes(data, offsets)
+        assert h.tolist() == whole.tolist() and b.tolist() == bounds.tolist()
+    assert [len(x) for x in hmm.word_hashes(data[:0], np.zeros(1, np.int64))] == [0, 1]
