@@ -7,8 +7,10 @@ code over its result.  Relations: `documents` (one row a document), `nodes`, `er
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,14 +102,40 @@ def parse_one(source: str | bytes, fragment=None, scripting=False, want=("nodes"
     return out
 
 
-def _kernel(fragment=None, scripting=False, want=("nodes", "errors"), **hints):
-    @F.arrow_udf(f"struct<{DOCUMENT.replace(' array', ':array').replace(' string', ':string')}>")
-    def kernel(column: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else parse_one(x, fragment, scripting, want, **hints) for x in column.to_pylist()], _DOC_TYPE)
+def slices(column: pa.Array, size: int = 1 << 18) -> Iterator[pa.Array]:
+    """A column of texts or bytes in slices of `size` bytes at most, or of one page."""
+    first = held = 0
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
+        n = (n or 0) + 256  # empty pages have nodes too
+        if held and held + n > size:
+            yield column.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    yield column.slice(first)
+
+
+def each_page(start: Callable[[], Callable], spark_type: str, arrow_type: pa.DataType):
+    """Arrow UDF of a function of one page (null for null), which `start` makes once a task.
+
+    Spark hands over 10,000 pages at once; results leave slice by slice, so that what a worker holds as
+    Python objects grows with the largest page, not with the table.
+    """
+
+    @F.arrow_udf(spark_type)
+    def kernel(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = start()
+        for column in columns:
+            for some in slices(column):
+                yield pa.array([None if x is None else one(x) for x in some.to_pylist()], arrow_type)
 
     return kernel
 
 
+def _kernel(fragment=None, scripting=False, want=("nodes", "errors"), **hints):
+    kind = f"struct<{DOCUMENT.replace(' array', ':array').replace(' string', ':string')}>"
+    return each_page(lambda: lambda x: parse_one(x, fragment, scripting, want, **hints), kind, _DOC_TYPE)
+
+
 def parse_html(html: Column | str, fragment: str | None = None, scripting: bool = False, want=("nodes", "errors"), **hints) -> Column:
     """Struct of a parsed document (null for null).  STRING columns are text, BINARY ones bytes with encoding discovery.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import tables as T, writer
 from tagloom.operators import filters
-from tagloom.operators.parse import ATTR, build, concatenate_text, is_html
+from tagloom.operators.parse import ATTR, build, concatenate_text, each_page, is_html
 from tagloom.operators.sanitize import SafeLists, safe_css, sanitize
 
 # Characters that make quotes necessary, by the two readings of the rules.
@@ -215,13 +215,12 @@ def serialize_html(html: Column | str, o: Options = Options(), encoding: str | N
             raise ValueError(problems[0])
         return {"html": text.encode(encoding) if encoding else text, "problems": problems}
 
-    kind = pa.binary() if encoding else pa.string()
-
-    @F.arrow_udf(f"struct<html:{'binary' if encoding else 'string'},problems:array<string>>")
-    def kernel(column: pa.Array) -> pa.Array:
+    def start():
         markup = writer.Markup(o, _SPEC if o.quote_attr_values == "spec" else _LEGACY, encoding, _reverse_entities() if encoding else None)
-        return pa.array([None if x is None else one(x, markup) for x in column.to_pylist()], pa.struct([("html", kind), ("problems", pa.list_(pa.string()))]))
+        return lambda source: one(source, markup)
 
+    kind = pa.struct([("html", pa.binary() if encoding else pa.string()), ("problems", pa.list_(pa.string()))])
+    kernel = each_page(start, f"struct<html:{'binary' if encoding else 'string'},problems:array<string>>", kind)
     return kernel(F.col(html) if isinstance(html, str) else html)
 
 

@@ -325,3 +325,46 @@ def test_tokens_come_back_from_events(spark):
 def test_losses_are_named(spark):
     t = tree(spark, '<!DOCTYPE html PUBLIC "a{b" ""><!--a--b--><x:y c<d=1>ok<b>fine')
     assert sorted(r["problem"] for r in S.coercion_losses(t).collect()) == ["attribute name", "comment", "element name", "public identifier"]
+
+
+def test_what_a_worker_holds_does_not_grow_with_spark_batches(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tagloom.operators.parse import _kernel
+
+    page = spark.read.parquet(f"{SF}/pages.parquet").first()["html"]
+
+    def peak(count):
+        batch, rows = pa.array([page, None] * (count // 2)), 0
+        tracemalloc.start()
+        try:
+            for part in _kernel(want=("nodes",)).func(iter([batch])):
+                rows += len(part)
+                assert part.nbytes < 4 << 20
+            return rows, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (few, least), (many, most) = peak(400), peak(1600)
+    assert (few, many) == (400, 1600) and most < 1.5 * least
+
+
+def test_slices_hold_each_row_once(spark):
+    import pyarrow as pa
+
+    from tagloom.operators.parse import slices
+
+    for rows in ([], [None] * 3, ["a" * 3000, "", None, "é" * 300], [b"x" * 10, None], ["a" * 100] * 50):
+        column = pa.array(rows, pa.binary() if rows and isinstance(rows[0], bytes) else pa.string())
+        parts = list(slices(column, 1000))
+        assert [x for p in parts for x in p.to_pylist()] == rows
+        assert all(len(p) == 1 or sum(len(x) for x in p.to_pylist() if x) <= 1000 for p in parts)
+
+
+def test_kernels_of_kernels_and_of_several_columns(spark):
+    table = pages(spark, "<p>a", None, "", "<b>b")
+    once = table.select("page_id", S.serialize_html("html")["html"].alias("html"), parse_html("html", want=()).getField("compat_mode").alias("mode"))
+    rows = once.select("page_id", "mode", "html", S.serialize_html("html")["html"].alias("again")).orderBy("page_id").collect()
+    assert [tuple(r)[1:] for r in rows] == [("quirks", "<p>a", "<p>a"), (None, None, None), ("quirks", "", ""), ("quirks", "<b>b</b>", "<b>b</b>")]
